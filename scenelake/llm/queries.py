@@ -6,7 +6,13 @@ import importlib
 
 #: Query name -> module and function.
 OPERATORS = {
+    "op1_simhash": ("op1_simhash", "op1"),
+    "op2_toxicity": ("op2_toxicity", "op2"),
     "op3_mix": ("op3_mix", "op3"),
+    "op4_substring": ("op4_substring", "op4"),
+    "op8_language": ("op8_language", "op8"),
+    "op9_tiff": ("op9_tiff", "op9"),
+    "op10_tokens": ("op10_tokens", "op10"),
 }
 
 
