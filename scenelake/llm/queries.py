@@ -10,6 +10,8 @@ OPERATORS = {
     "op2_toxicity": ("op2_toxicity", "op2"),
     "op3_mix": ("op3_mix", "op3"),
     "op4_substring": ("op4_substring", "op4"),
+    "op5_decontaminate": ("op5_decontaminate", "op5"),
+    "op6_licenses": ("op6_licenses", "op6"),
     "op7_suffix": ("op7_suffix", "op7"),
     "op8_language": ("op8_language", "op8"),
     "op9_tiff": ("op9_tiff", "op9"),
