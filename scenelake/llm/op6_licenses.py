@@ -39,9 +39,9 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 #: Least cosine of a match.
-THRESHOLD = 0.75
+THRESHOLD = 0.8
 #: Words that are triggers only where nothing else will do.
-COMMON = frozenset("a an and any are be by code copy file files following for form forms free hereby in into is may of on or person program software source subject terms that the this to under use version with without work".split())
+COMMON = frozenset("a an and any are be by code copy deal file files following for form forms free hereby in into is may met of on or person program software source subject terms that the this to under use version with without work".split())
 #: File names of licence files, lower-cased.
 LICENCE_FILE = r"^(licen[cs]e|copying|unlicense|notice)(\.(txt|md|rst))?$"
 
@@ -65,38 +65,42 @@ class Templates:
                     break
                 triggers.add(w)
         self.triggers = sorted(triggers)
-        self.pattern = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(map(re.escape, triggers), key=len, reverse=True)) + r")(?![^\W_])", re.IGNORECASE) if triggers else None
 
     def vector(self, words: list[str]) -> dict[str, float]:
         v = {w: n * self.idf.get(w, self.unknown) for w, n in Counter(words).items()}
         length = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / length for w, x in v.items()} if length else {}
 
-    def best(self, text: str) -> tuple[str | None, float]:
-        """The template most like the passage; the first of equals."""
-        v = self.vector(_WORD.findall(text.lower()))
-        score, at = max(((sum(x * v.get(w, 0.0) for w, x in t.items()), -i) for i, t in enumerate(self.vectors)), default=(0.0, 0))
-        return (self.names[-at], min(1.0, score)) if score >= self.threshold else (None, score)
+    def best(self, passage: str) -> tuple[str | None, float]:
+        """The template most like the lower-cased passage, if it reaches the threshold; the first of equals."""
+        words = _WORD.findall(passage)
+        present = self.idf.keys() & words
+        # no cosine exceeds the length of the template's part that the passage has
+        open_ = [i for i, t in enumerate(self.vectors) if sum(t[w] ** 2 for w in present if w in t) >= self.threshold**2 - 1e-9]
+        if not open_:
+            return None, 0.0
+        v = self.vector(words)
+        score, at = max((sum(x * v.get(w, 0.0) for w, x in self.vectors[i].items()), -i) for i in open_)
+        return (self.names[-at], min(1.0, score)) if score >= self.threshold else (None, 0.0)
 
     def scan(self, text: str) -> tuple[str | None, float, bool]:
         """Licence and cosine of the best passage, and whether the whole text is a licence."""
-        found, whole = (None, 0.0), False
-        lowered = text.lower()
-        if not self.pattern or not any(x in lowered for x in self.triggers):
-            return *found, whole
+        found, lowered = (None, 0.0), text.lower()
         passages: dict[tuple[int, int], None] = {}
-        for m in self.pattern.finditer(text):
-            a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-            passages[a, len(text) if b < 0 else b] = None
-            a, b = text.rfind("\n\n", 0, m.start()), text.find("\n\n", m.end())
-            passages[0 if a < 0 else a + 2, len(text) if b < 0 else b] = None
+        for trigger in self.triggers:
+            at = lowered.find(trigger)
+            while at >= 0:
+                a, b = lowered.rfind("\n", 0, at) + 1, lowered.find("\n", at)
+                b = len(lowered) if b < 0 else b
+                passages[a, b] = None
+                x, y = lowered.rfind("\n\n", 0, at), lowered.find("\n\n", at)
+                passages[0 if x < 0 else x + 2, len(lowered) if y < 0 else y] = None
+                at = lowered.find(trigger, b)
         for a, b in passages:
-            name, score = self.best(text[a:b])
+            name, score = self.best(lowered[a:b])
             if name and score > found[1]:
                 found = name, score
-        if passages and self.best(text)[0]:
-            whole = True
-        return *found, whole
+        return *found, bool(passages) and self.best(lowered)[0] is not None
 
 
 def scan_licences(files: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
