@@ -24,8 +24,8 @@ def substring_count(text: Column, part: str) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Index terms: words of two or more letters or digits, lower-cased, without stop words; repeats stay."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b\w\w+\b"), F.lit(0))
+    """Index terms: words of two or more letters or digits of any script, lower-cased, without stop words; repeats stay."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     return F.filter(words, lambda w: ~w.isin(T.STOP_WORDS))
 
 

@@ -19,7 +19,8 @@ def tagged(captions: DataFrame) -> DataFrame:
 def _long(tags: DataFrame, every: bool = False) -> DataFrame:
     """field, value: the first value of fields with several, or every one."""
     if every:
-        cells = F.concat(*[F.transform(F.col(f) if f in T.MULTI else F.array(f), lambda v, f=f: F.struct(F.lit(f).alias("field"), v.alias("value"))) for f in T.FIELDS])
+        named = lambda f: F.transform(F.col(f) if f in T.MULTI else F.array(f), lambda v: F.struct(F.lit(f).alias("field"), v.alias("value")))
+        cells = F.concat(*map(named, T.FIELDS))
     else:
         cells = F.array(*[F.struct(F.lit(f).alias("field"), (F.element_at(f, 1) if f in T.MULTI else F.col(f)).alias("value")) for f in T.FIELDS])
     return tags.select(F.explode(cells).alias("x")).select("x.*")

@@ -104,7 +104,7 @@ def semantic_gaps(rows: DataFrame, centers: DataFrame, columns: list[str], key:
     """rank, key, log_density, nearest cluster, its name, the original cluster and whether that is noise (-1): the n least dense."""
     scored = nearest(rows, centers, columns, key, group).withColumn("log_density", F.round(diagonal_log_density(columns), 6))
     lowest = scored.select(key, group, f"nearest_{group}", "log_density").orderBy("log_density", key).limit(n)
-    ranked = lowest.withColumn("rank", F.row_number().over(Window.orderBy("log_density", key)))
+    ranked = lowest.withColumn("rank", F.row_number().over(Window.orderBy("log_density", key)).cast("long"))
     default = F.concat(F.lit("cluster_"), F.col(f"nearest_{group}").cast("string"))
     if names is None:
         named = ranked.withColumn("scenario_name", default)
@@ -124,7 +124,7 @@ def gap_scores(numbers: DataFrame, threshold: float = 0.7, n: int = 200) -> Data
     scored = risky.withColumn("log_density", F.round(diagonal_log_density(T.DIMENSIONS), 6))
     scored = scored.withColumn("gap_score", F.round(-F.col("log_density") * F.col("hazard_proximity") * rules.frequency_weight(), 4))
     best = scored.orderBy(F.desc("gap_score"), "clip_id").limit(n)
-    return best.select(F.row_number().over(Window.orderBy(F.desc("gap_score"), "clip_id")).alias("rank"), "clip_id", "gap_score", "log_density", *[F.round(d, 3).alias(d) for d in T.DIMENSIONS])
+    return best.select(F.row_number().over(Window.orderBy(F.desc("gap_score"), "clip_id")).cast("long").alias("rank"), "clip_id", "gap_score", "log_density", *[F.round(d, 3).alias(d) for d in T.DIMENSIONS])
 
 
 def region_mean(gaps: DataFrame, n: int = 20) -> DataFrame:

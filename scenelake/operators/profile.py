@@ -12,7 +12,7 @@ from scenelake.functions.text import bucket, substring_count, word_count
 
 
 def lengths(docs: DataFrame) -> DataFrame:
-    n = word_count(F.col("text"))
+    n = word_count(F.col("text")).cast("long")
     return docs.select(n.alias("n")).agg(F.count("*").alias("n_docs"), F.min("n").alias("min_words"), F.max("n").alias("max_words"), F.round(F.avg("n"), 1).alias("mean_words"))
 
 

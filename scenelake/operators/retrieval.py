@@ -21,7 +21,7 @@ BLOCK = 1024
 def top(scored: DataFrame, k: int, best_first: bool = True, group: str = "qid", by: str = "score", key: str = "doc_id") -> DataFrame:
     """The k best of each group with their rank; ties by key. Ranks are cut in every task before the shuffle."""
     order = Window.partitionBy(group).orderBy(F.desc(by) if best_first else F.asc(by), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def hybrid(tags: DataFrame, vectors: DataFrame, vector: list[float], wanted: dic
     rows = filtered.select("doc_id", "cosine", F.lit("hybrid").alias("method"), F.lit(False).alias("fallback")).unionByName(
         every.join(F.broadcast(found.where("not found")), F.lit(True), "left_semi").select("doc_id", "cosine", F.lit("embedding").alias("method"), F.lit(True).alias("fallback"))
     )
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cosine"), "doc_id")))
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cosine"), "doc_id")).cast("long"))
 
 
 def hashing_encoder(texts: DataFrame, size: int = 64) -> DataFrame:

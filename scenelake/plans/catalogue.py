@@ -237,15 +237,19 @@ def vector_topk_batch(spark, d):
     return retrieval.vector_search(vectors(spark, d), asked_vectors(spark, d), 10).select("qid", "doc_id", "cosine", "rank")
 
 
+def _dots() -> str:
+    return "SELECT v.vec_id AS doc_id, round(list_inner_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id = 0) q"
+
+
 NIGHT_TRUCK = {"time_of_day": "night", "agent_type": "truck"}
 
 
-@query(S.with_tags(f"SELECT doc_id, cosine, 'hybrid' AS method, false AS fallback, row_number() OVER (ORDER BY cosine DESC, doc_id) AS rank FROM ({_cosines('vec_id = 0')}) JOIN tags ON doc_id = clip_id WHERE time_of_day = 'night' AND list_contains(agent_type, 'truck') QUALIFY rank <= 10"))
+@query(S.with_tags(f"SELECT doc_id, cosine, 'hybrid' AS method, false AS fallback, row_number() OVER (ORDER BY cosine DESC, doc_id) AS rank FROM ({_dots()}) JOIN tags ON doc_id = clip_id WHERE time_of_day = 'night' AND list_contains(agent_type, 'truck') QUALIFY rank <= 10"))
 def hybrid_topk(spark, d):
     return retrieval.hybrid(tags(spark, d), vectors(spark, d), vector_of(spark, d, 0), NIGHT_TRUCK, 10)
 
 
-@query(f"SELECT doc_id, cosine, 'embedding' AS method, true AS fallback, row_number() OVER (ORDER BY cosine DESC, doc_id) AS rank FROM ({_cosines('vec_id = 0')}) QUALIFY rank <= 10")
+@query(f"SELECT doc_id, cosine, 'embedding' AS method, true AS fallback, row_number() OVER (ORDER BY cosine DESC, doc_id) AS rank FROM ({_dots()}) QUALIFY rank <= 10")
 def hybrid_fallback(spark, d):
     return retrieval.hybrid(tags(spark, d), vectors(spark, d), vector_of(spark, d, 0), {"weather": "hail"}, 10)
 

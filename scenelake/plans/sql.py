@@ -34,7 +34,7 @@ def _hit(field: str, value: str) -> str:
 def _tag(field: str) -> str:
     rules = [(v, _hit(field, v)) for v, _ in T.TAG_RULES[field]]
     if field in T.MULTI:
-        found = "list_filter([" + ", ".join(f"CASE WHEN {hit} THEN '{v}' END" for v, hit in rules) + "], x -> x IS NOT NULL)"
+        found = "list_filter([" + ", ".join(f"CASE WHEN {hit} THEN '{v}' END" for v, hit in rules) + "], lambda x: x IS NOT NULL)"
         return f"CASE WHEN len({found}) = 0 THEN ['none'] ELSE {found} END AS {field}"
     return "CASE " + " ".join(f"WHEN {hit} THEN '{v}'" for v, hit in rules) + f" ELSE 'unknown' END AS {field}"
 
@@ -44,7 +44,7 @@ TAGS = "tags AS (SELECT clip_id, " + ", ".join(map(_tag, T.FIELDS)) + " FROM cap
 
 def _dimension(name: str) -> str:
     if name == "agent_density":
-        n = "len(list_filter(agent_type, x -> x <> 'none'))"
+        n = "len(list_filter(agent_type, lambda x: x <> 'none'))"
         return f"CASE {n} WHEN 0 THEN 0.05::DOUBLE WHEN 1 THEN 0.3::DOUBLE WHEN 2 THEN 0.6::DOUBLE ELSE 0.85::DOUBLE END AS agent_density"
     field, values = T.DIMENSION_MAPS[name]
     return f"CASE {field} " + " ".join(f"WHEN '{v}' THEN {x}::DOUBLE" for v, x in values.items()) + f" END AS {name}"
@@ -77,11 +77,10 @@ ASKED = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"({quote(q)}, {quote(v)}
 
 
 def _terms(column: str) -> str:
-    return f"list_filter(regexp_extract_all(lower({column}), '\\b\\w\\w+\\b'), w -> NOT list_contains({strings(T.STOP_WORDS)}, w))"
+    return f"list_filter(regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({strings(T.STOP_WORDS)}, w))"
 
 
 def _token_cte(table: str, key: str) -> str:
-    # letters beyond ASCII end a word in the index, as they do for the expressions that are checked
     return f"tok AS (SELECT doc_id, terms, len(terms) AS dl FROM (SELECT {key} AS doc_id, {_terms('text')} AS terms FROM {table}))"
 
 
@@ -116,12 +115,12 @@ def _hint(field: str) -> str:
 _HINT_CTE = "hints AS (SELECT *, coalesce(" + ", ".join(_HINT_FIELDS) + ") IS NOT NULL AS hinted FROM (SELECT qid, " + ", ".join(map(_hint, _HINT_FIELDS)) + " FROM asked))"
 HINTS = _with(ASKED, _HINT_CTE, body="SELECT * FROM hints")
 
-_LONG = "list_filter(string_split_regex(lower(a.text), '{}'), w -> length(w) > 3)"
-_WEAK_CTE = f"weak AS (SELECT qid, clip_id FROM (SELECT qid, clip_id, c.text, {_LONG.format('[^a-z0-9_]+')} AS words FROM captions c, asked a) WHERE len(words) > 0 AND len(list_filter(words, w -> NOT contains(lower(text), w))) = 0)"
+_LONG = "list_filter(string_split_regex(lower(a.text), '{}'), lambda w: length(w) > 3)"
+_WEAK_CTE = f"weak AS (SELECT qid, clip_id FROM (SELECT qid, clip_id, c.text, {_LONG.format('[^a-z0-9_]+')} AS words FROM captions c, asked a) WHERE len(words) > 0 AND len(list_filter(words, lambda w: NOT contains(lower(text), w))) = 0)"
 WEAK = f", {ASKED}, {_WEAK_CTE}"
 
 _CAUSAL = " OR ".join(f"contains(lower(text), '{s}')" for s in T.CAUSAL_STEMS)
-DRY_RUN = f""", {ASKED}, shared AS (SELECT qid, level, clip_id, ({_CAUSAL}) AS causal, len(list_filter(words, w -> contains(lower(text), w))) / greatest(len(words), 1)::DOUBLE AS share
+DRY_RUN = f""", {ASKED}, shared AS (SELECT qid, level, clip_id, ({_CAUSAL}) AS causal, len(list_filter(words, lambda w: contains(lower(text), w))) / greatest(len(words), 1)::DOUBLE AS share
     FROM (SELECT qid, level, clip_id, c.text, {_LONG.format(chr(92) + 's+')} AS words FROM captions c, asked a)),
 marked AS (SELECT *, CASE WHEN share >= 0.7::DOUBLE THEN 2 WHEN share >= 0.4::DOUBLE THEN 1 ELSE 0 END AS condition_score, CASE WHEN level IN ('L2', 'L3') AND causal THEN 1 ELSE 0 END AS causal_score FROM shared),
 scored AS (SELECT *, CASE WHEN level IN ('L2', 'L3') THEN condition_score + causal_score >= 3 ELSE condition_score >= 2 END AS relevant FROM marked)"""
@@ -139,7 +138,7 @@ def scores(body: str, k: int = 10) -> str:
         "scores AS (SELECT method, qid, level, coalesce(n_relevant, 0) AS n_relevant, round(coalesce(n_hits / least(5, n_relevant), 0), 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr"
         " FROM found LEFT JOIN (SELECT qid, count(*) AS n_relevant FROM weak GROUP BY 1) USING (qid) JOIN (SELECT qid, level FROM asked) USING (qid))",
         "chosen AS (SELECT DISTINCT qid, clip_id FROM ranked WHERE method <> 'hybrid')",
-        "pool AS (SELECT qid, clip_id, 'ranked' AS origin FROM chosen UNION ALL SELECT qid, clip_id, 'random' FROM (SELECT qid, clip_id FROM (SELECT DISTINCT qid FROM chosen), captions"
+        "pool AS (SELECT qid, clip_id, 'ranked' AS origin FROM chosen UNION ALL SELECT qid, clip_id, 'random' FROM (SELECT qid, clip_id FROM (SELECT * FROM (SELECT DISTINCT qid FROM chosen) CROSS JOIN captions) p"
         " ANTI JOIN chosen USING (qid, clip_id)) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY clip_id * 7919 % 10007, clip_id) <= 15)",
         body=body,
     )

@@ -26,7 +26,7 @@ def clip_id(path: Column, suffixes: tuple = CAPTION_SUFFIXES) -> Column:
 
 def caption_files(spark: SparkSession, folder: str, suffix: str = ".txt", limit: int | None = None) -> DataFrame:
     """clip_id, text: one row for each caption file; limit keeps the first by id."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=f"*{suffix}")
     out = files.select(clip_id(F.input_file_name(), (suffix,)).alias("clip_id"), F.col("value").alias("text"))
     return out.orderBy("clip_id").limit(limit) if limit is not None else out
 
@@ -40,7 +40,7 @@ def video_files(spark: SparkSession, folder: str, suffix: str = ".mp4") -> DataF
 def tag_map(spark: SparkSession, path: str) -> DataFrame:
     """Tags from a JSON object of clip id to tags, as rows."""
     fields = t.StructType(TAGS.fields[1:])
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     entries = whole.select(F.explode(F.from_json("value", t.MapType(t.StringType(), fields))).alias("clip_id", "tags"))
     return entries.select("clip_id", "tags.*")
 
