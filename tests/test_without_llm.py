@@ -22,4 +22,4 @@ def test_nothing_else_imports_llm():
             continue
         for f in files:
             if f.endswith(".py"):
-                assert "llm" not in open(os.path.join(folder, f)).read(), f
+                assert "scenelake.llm" not in open(os.path.join(folder, f)).read(), f
