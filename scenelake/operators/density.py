@@ -1,7 +1,7 @@
 """Densities of points and the rare clips they reveal.
 
-A kernel density is fitted on a bounded sample (SAMPLE points, by a hash of the id; all points where there are no
-more) that is sent to every task, and every row is scored by matrix products; Gaussian models are aggregates.
+A kernel density is fitted on all points, which are sent to every task in blocks of BLOCK, and every row is scored
+by matrix products whose kernel sums add up over the blocks; Gaussian models are aggregates.
 """
 
 from __future__ import annotations
@@ -16,46 +16,50 @@ from pyspark.sql import functions as F
 from scenelake.functions import rules
 from scenelake.functions import taxonomy as T
 
-SAMPLE = 20_000
+#: Fitted points in one broadcast.
+BLOCK = 20_000
 BANDWIDTH_2D = 0.3
 EPSILON = 1e-6
 
 
-def sample(points: DataFrame, n: int = SAMPLE, key: str = "id") -> DataFrame:
-    """At most n rows, the same at every run."""
-    return points.orderBy(F.xxhash64(key), key).limit(n)
-
-
-def kde(points: DataFrame, fit: DataFrame, bandwidth: float | None = None, n: int = SAMPLE) -> DataFrame:
+def kde(points: DataFrame, fit: DataFrame, bandwidth: float | None = None, block: int = BLOCK) -> DataFrame:
     """id, log_density of points (id, x) under a Gaussian kernel density on fit (id, x).
 
     Without a bandwidth it is n^(-1/(d+4)). Points with a null coordinate have no density; without points to fit on
     there is none either.
     """
-    rows = sample(fit.where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull())), n).select("x").collect()
+    rows = fit.where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull())).orderBy(F.xxhash64("id"), "id").select("x")
     kind = points.schema["id"].dataType.simpleString()
-    if not rows:
+    shared, part, count, d = [], [], 0, 0
+    for r in rows.toLocalIterator():
+        part.append(r.x)
+        count, d = count + 1, len(r.x)
+        if len(part) == block:
+            shared.append(points.sparkSession.sparkContext.broadcast(np.array(part, np.float64)))  # block x d numbers
+            part = []
+    if part:
+        shared.append(points.sparkSession.sparkContext.broadcast(np.array(part, np.float64)))
+    if not count:
         return points.select("id", F.lit(None).cast("double").alias("log_density"))
-    base = np.array([r.x for r in rows], np.float64)
-    d = base.shape[1]
-    h = bandwidth or len(base) ** (-1 / (d + 4))
-    norm = math.log(len(base)) + 0.5 * d * math.log(2 * math.pi * h * h)
-    shared = points.sparkSession.sparkContext.broadcast(base)  # SAMPLE x d numbers at most
+    h = bandwidth or count ** (-1 / (d + 4))
+    norm = math.log(count) + 0.5 * d * math.log(2 * math.pi * h * h)
 
     def score(batches):
-        fitted = shared.value
-        squares = (fitted**2).sum(axis=1)
         for b in batches:
             rows = b.column("x").to_pylist()
             out: list = [None] * len(rows)
             known = [i for i, r in enumerate(rows) if r is not None and None not in r]
-            for at in range(0, len(known), 256):
-                part = known[at : at + 256]
-                m = np.array([rows[i] for i in part], np.float64)
-                e = -np.maximum((m**2).sum(axis=1)[:, None] + squares - 2 * m @ fitted.T, 0) / (2 * h * h)
-                most = e.max(axis=1, keepdims=True)
-                for i, v in zip(part, (most[:, 0] + np.log(np.exp(e - most).sum(axis=1)) - norm).tolist(), strict=True):
-                    out[i] = v
+            m = np.array([rows[i] for i in known], np.float64).reshape(len(known), d)
+            logs = np.full(len(known), -np.inf)
+            for fitted in (x.value for x in shared):
+                squares = (fitted**2).sum(axis=1)
+                for at in range(0, len(known), 256):
+                    own = m[at : at + 256]
+                    e = -np.maximum((own**2).sum(axis=1)[:, None] + squares - 2 * own @ fitted.T, 0) / (2 * h * h)
+                    most = e.max(axis=1, keepdims=True)
+                    logs[at : at + 256] = np.logaddexp(logs[at : at + 256], most[:, 0] + np.log(np.exp(e - most).sum(axis=1)))
+            for i, v in zip(known, (logs - norm).tolist(), strict=True):
+                out[i] = v
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.float64())], names=["id", "log_density"])
 
     return points.select("id", "x").mapInArrow(score, f"id {kind}, log_density double")
