@@ -86,16 +86,15 @@ def test_op1(docs, empty):
     assert {(r.doc_id, r.component_id) for r in got if r.doc_id is not None} == {(i, find(i)) for i in root}
     assert {r.component_id for r in got if r.doc_id is None} == {1, find(10)}
     assert op1_simhash.near_duplicates(empty).count() == 0
-    kept = op1_simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {find(i) for i in root} | {None}
 
 
-@pytest.mark.parametrize("crowd", [1, 3, 24])
-def test_op1_links_of_dense_groups(spark, crowd):
+@pytest.mark.parametrize("members", [2, 5, 24, 25, 500])
+def test_op1_links_of_dense_groups(spark, members):
     base = random.getrandbits(64)
-    fps = {base} | {base ^ (1 << random.randrange(64)) ^ (1 << random.randrange(64)) for _ in range(120)} | {random.getrandbits(64) for _ in range(60)}
+    fps = {base} | {base ^ (1 << random.randrange(64)) ^ (1 << random.randrange(64)) for _ in range(members)} | {random.getrandbits(64) for _ in range(60)}
     fps = sorted(f - (1 << 64) if f >= 1 << 63 else f for f in fps)
-    pairs = [(r.a, r.b) for r in op1_simhash.linked_pairs(spark.createDataFrame([(f,) for f in fps], "fp long"), crowd).collect()]
+    pairs = [(r.a, r.b) for r in op1_simhash.linked_pairs(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()]
+    assert len(pairs) <= 65 * len(fps)
     assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 2 for a, b in pairs)
 
     def groups(edges):
@@ -158,7 +157,7 @@ def test_op8(spark, sf, docs, empty):
     rows = op8_language.op8(spark, sf).collect()
     held = [r for r in rows if r.held_out]
     assert len(rows) == 200 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
-    assert sum(known[r.doc_id] == r.lang_pred for r in held) / len(held) > 0.97 and not any(r.rejected for r in rows)
+    assert sum(known[r.doc_id] == r.lang_pred for r in held) / len(held) > 0.97
     model = op8_language.train(docs)
     out = op8_language.detect(docs, model).collect()
     assert len(out) == docs.count()

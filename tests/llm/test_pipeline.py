@@ -23,7 +23,7 @@ def test_stages(spark, sf, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         after = {r.doc_id: r.text for r in docs.collect()}
         assert docs.columns == columns and set(after) <= set(before)
-        if name == "language":
+        if name == "language_":
             assert after == before
         if name == "near_dedup":
             fps = {i: brute_fingerprint(t) for i, t in before.items()}
