@@ -25,6 +25,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from scenelake.llm import op3_mix
+    from scenelake.llm import op3_mix, op4_substring, op7_suffix
 
-    return {"op3_mix": op3_mix.oracle()}
+    return {"op3_mix": op3_mix.oracle(), "op4_substring": op4_substring.oracle(), "op7_suffix": op7_suffix.oracle()}
