@@ -19,18 +19,23 @@ def contains_any(text: Column, parts: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
 
 
-def tag(field: str, text: Column) -> Column:
-    """Value of a field: the first rule that fires, or all that fire for fields with several values."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    hits = [F.when(any_of(lowered, patterns), F.lit(value)) for value, patterns in T.TAG_RULES[field]]
-    if field not in T.MULTI:
-        return F.coalesce(*hits, F.lit("unknown")).alias(field)
-    found = F.array_compact(F.array(*hits))
-    return F.when(F.size(found) == 0, F.array(F.lit("none"))).otherwise(found).alias(field)
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def found(field: str, text: Column) -> Column:
+    """Value of a field in a lower-cased text: the first rule that fires, or an array of all that fire for fields with several values."""
+    hits = [F.when(any_of(text, patterns), F.lit(value)) for value, patterns in T.TAG_RULES[field]]
+    return (F.array_compact(F.array(*hits)) if field in T.MULTI else F.coalesce(*hits, F.lit("unknown"))).alias(field)
+
+
+def settled(field: str, value: Column) -> Column:
+    """The value found, or none for a field with several values of which none fired."""
+    return F.when(F.size(value) == 0, F.array(F.lit("none"))).otherwise(value).alias(field) if field in T.MULTI else value.alias(field)
 
 
 def tags(text: Column) -> list[Column]:
-    return [tag(field, text) for field in T.FIELDS]
+    return [settled(field, found(field, lowered(text))) for field in T.FIELDS]
 
 
 def hint(field: str, text: Column) -> Column:

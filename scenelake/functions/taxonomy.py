@@ -123,6 +123,9 @@ QUERIES = {
 #: paraphrases
 PARAPHRASE_OF = {"L4-01": "L0-07", "L4-02": "L0-01", "L4-03": "L0-17", "L4-04": "L0-18", "L4-05": "L0-13"}
 
+#: queries in the words of the captions
+RECIPE_QUERIES = [("R-01", "truck on highway"), ("R-02", "dense fog inside tunnel"), ("R-03", "night pedestrian"), ("R-04", "heavy rain congested lanes"), ("R-05", "collision"), ("R-06", "cyclist brakes")]
+
 #: word lists of the caption recipe
 CAPTION_PARTS = {
     "T": ["at night under streetlights", "at dawn", "during dusk", "in bright daylight", "", "in the early morning with headlights on"],

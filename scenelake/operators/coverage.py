@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,16 @@ AXES = ("time_of_day", "weather", "road_type", "hazard_level")
 
 
 def tagged(captions: DataFrame) -> DataFrame:
-    """clip_id and a column for each field; one projection, no Python."""
-    return captions.select("clip_id", *rules.tags(F.col("text")))
+    """clip_id and a column for each field; one pass over the text, no Python.
+
+    The lower-cased text and the values found each leave through a generator of one row, so that whatever uses them
+    refers to columns. In a plain projection every pattern would be given its own copy of the expression that makes
+    the text, and every filter and sum over a tag its own copy of the patterns.
+    """
+    once = lambda *columns: F.inline(F.array(F.struct(*columns)))
+    lowered = captions.select("clip_id", once(rules.lowered(F.col("text")).alias("lowered")))
+    found = lowered.select("clip_id", once(*[rules.found(f, F.col("lowered")) for f in T.FIELDS]))
+    return found.select("clip_id", *[rules.settled(f, F.col(f)) for f in T.FIELDS])
 
 
 def _long(tags: DataFrame, every: bool = False) -> DataFrame:
@@ -60,16 +70,15 @@ def combinations(tags: DataFrame, axes: tuple = AXES) -> DataFrame:
 
 
 def possible(spark, axes: tuple = AXES) -> DataFrame:
-    """Every combination of taxonomy values (a few hundred rows), with the place of each value."""
-    out = None
-    for a in axes:
-        side = spark.createDataFrame([(v, i) for i, v in enumerate(T.FIELDS[a])], f"{a} string, {a}_ord int")
-        out = side if out is None else out.crossJoin(side)
-    return out
+    """Every combination of taxonomy values (a few hundred rows, made here), with the place of each value."""
+    rows = [tuple(x for v, i in cell for x in (v, i)) for cell in product(*([(v, i) for i, v in enumerate(T.FIELDS[a])] for a in axes))]
+    return spark.createDataFrame(rows, ", ".join(f"{a} string, {a}_ord int" for a in axes)).coalesce(1)
 
 
-def zero_cells(tags: DataFrame, axes: tuple = AXES) -> DataFrame:
-    return possible(tags.sparkSession, axes).join(combinations(tags, axes), list(axes), "left_anti").select(*axes)
+def zero_cells(tags: DataFrame, axes: tuple = AXES, first: int | None = None) -> DataFrame:
+    """Combinations that do not occur; with `first` so many of them, in the order of the taxonomy."""
+    empty = possible(tags.sparkSession, axes).join(combinations(tags, axes), list(axes), "left_anti")
+    return (empty if first is None else empty.orderBy(*[f"{a}_ord" for a in axes]).limit(first)).select(*axes)
 
 
 def coverage_rate(tags: DataFrame, axes: tuple = AXES) -> DataFrame:

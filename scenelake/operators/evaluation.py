@@ -56,15 +56,15 @@ def pool(first: DataFrame, second: DataFrame, corpus: DataFrame, extra: int = 15
 def metrics(ranked: DataFrame, relevant: DataFrame, k: int = 5, by: tuple = ("method", "qid")) -> DataFrame:
     """recall and mrr at k for each method and query of `ranked` (method, qid, clip_id, rank).
 
-    Recall divides by the lesser of k and the number of relevant clips; without relevant clips both are 0.
+    Recall divides by the lesser of k and the number of relevant clips. Queries without any go, so that they enter no mean.
     """
     labels = relevant.select("qid", "clip_id").distinct()
     sizes = labels.groupBy("qid").agg(F.count("*").alias("n_relevant"))
     hits = ranked.where(F.col("rank") <= k).join(labels.withColumn("hit", F.lit(1)), ["qid", "clip_id"], "left")
     found = hits.groupBy(*by).agg(F.count("hit").alias("n_hits"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"))
-    out = found.join(F.broadcast(sizes), "qid", "left")
-    recall = F.coalesce(F.col("n_hits") / F.least(F.lit(k), F.col("n_relevant")), F.lit(0.0))
-    return out.select(*by, F.coalesce("n_relevant", F.lit(0)).cast("long").alias("n_relevant"), F.round(recall, 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
+    out = found.join(sizes, "qid")
+    recall = F.col("n_hits") / F.least(F.lit(k), F.col("n_relevant"))
+    return out.select(*by, "n_relevant", F.round(recall, 6).alias("recall"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"))
 
 
 def rollup(scores: DataFrame) -> DataFrame:
@@ -72,6 +72,24 @@ def rollup(scores: DataFrame) -> DataFrame:
     return scores.groupingSets([["method", "level"], ["method"]], "method", "level").agg(F.count("*").alias("n"), F.round(F.avg("recall"), 4).alias("recall"), F.round(F.avg("mrr"), 4).alias("mrr"))
 
 
+def latency(timings: DataFrame) -> DataFrame:
+    """method, n, mean and median of the milliseconds (ms) of its searches."""
+    return timings.groupBy("method").agg(F.count("ms").alias("n"), F.round(F.avg("ms"), 2).alias("mean_ms"), F.round(F.median("ms"), 2).alias("median_ms"))
+
+
+def pooled_set(pooled: DataFrame, scored: DataFrame, min_relevant: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The pool's clips (qid, clip_id, origin) judged by a scorer's rows (qid, clip_id, relevant).
+
+    First qid, clip_id of the relevant ones, of queries that have min_relevant of them; then one row for each origin:
+    clips, relevant ones and their share. Random clips that are often relevant tell that the pool misses many.
+    """
+    judged = pooled.join(scored.select("qid", "clip_id", "relevant"), ["qid", "clip_id"])
+    kept = judged.where("relevant").select("qid", "clip_id")
+    enough = kept.groupBy("qid").agg(F.count("*").alias("n_")).where(F.col("n_") >= min_relevant).select("qid")
+    by_origin = judged.groupBy("origin").agg(F.count("*").alias("n"), F.count_if("relevant").alias("n_relevant"), F.round(F.avg(F.col("relevant").cast("int")), 4).alias("share"))
+    return kept.join(enough, "qid", "left_semi"), by_origin
+
+
 def method_gap(scores: DataFrame, levels: tuple = ("L0", "L2")) -> DataFrame:
     """Recall of embedding less that of bm25 at two levels, and whether it grows."""
     mean = lambda m, v: F.coalesce(F.avg(F.when((F.col("method") == m) & (F.col("level") == v), F.col("recall"))), F.lit(0.0))

@@ -75,16 +75,18 @@ def vector_search(vectors: DataFrame, queries: list[tuple], k: int = 10, block:
 
     Exact: every batch is one matrix product with a block of queries and keeps its own k best, so that only
     (batches x queries x k) rows are shuffled. distance is the squared Euclidean distance. Null vectors and those
-    of another length or of length zero do not rank.
+    of another length or of length zero do not rank. Where the vectors have a column `allowed` (names of queries), a
+    row ranks for those queries only.
     """
     spark, out = vectors.sparkSession, None
     kind = vectors.schema["doc_id"].dataType.simpleString()
+    limited = ["allowed"] if "allowed" in vectors.columns else []
     for at in range(0, len(queries), block):
         ids = [q for q, _ in queries[at : at + block]]
         matrix = np.array([v for _, v in queries[at : at + block]], np.float64)
         shared = spark.sparkContext.broadcast((ids, matrix))  # block x dimensions numbers
 
-        def search(batches):
+        def search(batches, shared=shared):
             names, wanted = shared.value
             norms = np.linalg.norm(wanted, axis=1)
             for b in batches:
@@ -97,6 +99,9 @@ def vector_search(vectors: DataFrame, queries: list[tuple], k: int = 10, block:
                 length = np.linalg.norm(m, axis=1)
                 dot = m @ wanted.T
                 cosine = np.where((length[:, None] > 0) & (norms > 0), dot / np.maximum(length[:, None] * norms, 1e-300), -np.inf)
+                if limited:
+                    fits = [set(x or ()) for x in own.column("allowed").to_pylist()]
+                    cosine[~np.array([[q in x for q in names] for x in fits], bool)] = -np.inf
                 distance = (length**2)[:, None] + norms**2 - 2 * dot
                 keys = np.array(own.column("doc_id").to_pylist())
                 for j, q in enumerate(names):
@@ -105,13 +110,28 @@ def vector_search(vectors: DataFrame, queries: list[tuple], k: int = 10, block:
                     best = best[np.isfinite(score[best])]
                     yield pa.RecordBatch.from_arrays([pa.array([q] * len(best), pa.string()), own.column("doc_id").take(pa.array(best)), pa.array(score[best]), pa.array(np.round(np.maximum(distance[best, j], 0), 6))], names=["qid", "doc_id", "cosine", "distance"])
 
-        part = vectors.select("doc_id", "embedding").mapInArrow(search, f"qid string, doc_id {kind}, cosine double, distance double")
+        part = vectors.select("doc_id", "embedding", *limited).mapInArrow(search, f"qid string, doc_id {kind}, cosine double, distance double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], f"qid string, doc_id {kind}, cosine double, distance double, rank int")
     return top(out, k, by="cosine")
 
 
+def hybrid_search(tags: DataFrame, vectors: DataFrame, queries: list[tuple], filters: dict[str, dict], k: int = 10) -> DataFrame:
+    """qid, doc_id, cosine, rank for queries (qid, vector), those named in `filters` over clips with such tags only.
+
+    One scan ranks all of them. A query whose filter fits no vector is ranked without it, as are those without a filter.
+    """
+    asked = [(q, v) for q, v in queries if filters.get(q)]
+    every = vector_search(vectors, queries, k).select("qid", "doc_id", "cosine", "rank")
+    if not asked:
+        return every
+    allowed = F.filter(F.array(*[F.when(rules.matches(filters[q]), F.lit(q)) for q, _ in asked]), lambda x: x.isNotNull())
+    fitting = tags.select(F.col("clip_id").alias("doc_id"), allowed.alias("allowed")).where(F.size("allowed") > 0)
+    found = vector_search(vectors.join(fitting, "doc_id").select("doc_id", "embedding", "allowed"), asked, k).select("qid", "doc_id", "cosine", "rank")
+    return found.unionByName(every.join(found.select("qid").distinct(), "qid", "left_anti"))
+
+
 def cosine_to(vector: list[float], column: str = "embedding"):
     """Cosine of unit vectors with a constant, as an expression, in doubles."""
     q = F.array(*[F.lit(float(x)) for x in vector])
@@ -136,8 +156,30 @@ def hybrid(tags: DataFrame, vectors: DataFrame, vector: list[float], wanted: dic
 
 
 def hashing_encoder(texts: DataFrame, size: int = 64) -> DataFrame:
-    """A stand-in encoder without a model: term counts hashed to `size` places, scaled to length one."""
+    """A stand-in encoder without a model: term counts hashed (28 bits of the MD5) to `size` places, scaled to length one.
+
+    Texts without a term have no vector.
+    """
     words = texts.select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
-    cells = words.groupBy("doc_id", F.pmod(F.xxhash64("term"), F.lit(size)).cast("int").alias("place")).agg(F.count("*").cast("double").alias("n"))
+    place = F.pmod(F.conv(F.substring(F.md5("term"), 1, 7), 16, 10).cast("long"), F.lit(size)).cast("int")
+    cells = words.groupBy("doc_id", place.alias("place")).agg(F.count("*").cast("double").alias("n"))
     packed = cells.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
     return packed.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.col("length")).alias("embedding"))
+
+
+def saved_bm25(spark, folder: str, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """qid, doc_id, score, rank from the index in a folder (save_index); as bm25() over the texts it was made of."""
+    index, total = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/totals")
+    wanted = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("weight"))
+    counted = index.join(wanted.select("term").distinct(), "term", "left_semi")
+    df = counted.groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.join(F.broadcast(total)).select(F.col("term").alias("term_"), "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = counted.join(idf, F.col("term") == F.col("term_")).select("term", "doc_id", part.alias("part")).join(wanted, "term")
+    return top(scored.groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("weight")), 6).alias("score")), k)
+
+
+def save_index(docs: DataFrame, folder: str) -> None:
+    """Writes postings, clustered by term so that a search prunes row groups, and a one-row table of totals."""
+    postings(docs).repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    docs.select(F.size(tokens(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{folder}/totals")

@@ -282,14 +282,19 @@ def query_hints(spark, d):
     return evaluation.query_hints(tables.queries(spark))
 
 
+def recipe_queries(spark):
+    """The stated queries, and some in the words of the captions, which weak labels can hit."""
+    return tables.queries(spark).select("qid", "text").unionByName(spark.createDataFrame(T.RECIPE_QUERIES, "qid string, text string"))
+
+
 @query(S.with_captions(S.WEAK + " SELECT qid, clip_id FROM weak"))
 def weak_qrels(spark, d):
-    return evaluation.weak_labels(tables.captions(spark, d), tables.queries(spark))
+    return evaluation.weak_labels(tables.captions(spark, d), recipe_queries(spark))
 
 
-@query(S.with_captions(S.WEAK + " SELECT qid, clip_id FROM weak QUALIFY count(*) OVER (PARTITION BY qid) >= 2"))
-def weak_qrels_min2(spark, d):
-    return evaluation.weak_labels(tables.captions(spark, d), tables.queries(spark), 2)
+@query(S.with_captions(S.WEAK + " SELECT qid, clip_id FROM weak QUALIFY count(*) OVER (PARTITION BY qid) >= 30"))
+def weak_qrels_min30(spark, d):
+    return evaluation.weak_labels(tables.captions(spark, d), recipe_queries(spark), 30)
 
 
 @query(S.with_captions(S.DRY_RUN + " SELECT qid, sum(condition_score)::BIGINT AS condition_sum, sum(causal_score)::BIGINT AS causal_sum, count(*) FILTER (relevant) AS n_relevant, count(*) AS n FROM scored GROUP BY qid"))
@@ -299,19 +304,19 @@ def dryrun_scores(spark, d):
 
 
 def _rankings(spark, d, k: int = 10):
-    """method, qid, clip_id, rank: keyword ranking, and two arithmetic stand-ins for vector rankings."""
-    asked = tables.queries(spark)
-    words = retrieval.bm25(tables.captions(spark, d).withColumnRenamed("clip_id", "doc_id"), asked, k).select(F.lit("bm25").alias("method"), "qid", F.col("doc_id").alias("clip_id"), "rank")
-    number = (F.substring("qid", 2, 1).cast("long") * 100 + F.substring("qid", 4, 2).cast("long")).alias("number")
-    ranks = asked.select("qid", "text", number, F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
-    near = ranks.select(F.lit("embedding").alias("method"), "qid", ((F.col("number") * 13 + F.col("rank") * 7) % 200).alias("clip_id"), "rank")
-    hinted = evaluation.query_hints(asked).select("qid", "hinted")
-    mixed = ranks.join(F.broadcast(hinted), "qid").select(F.lit("hybrid").alias("method"), "qid", ((F.col("number") * 13 + F.col("rank") * F.when(F.col("hinted"), 11).otherwise(7)) % 200).alias("clip_id"), "rank")
-    return words.unionByName(near).unionByName(mixed)
+    """method, qid, clip_id, rank: by keywords, by encoded vectors, and by vectors among the clips that fit the query's hints."""
+    asked, captions = tables.queries(spark), tables.captions(spark, d).withColumnRenamed("clip_id", "doc_id")
+    encoded = retrieval.hashing_encoder(captions)
+    questions = [(r.doc_id, r.embedding) for r in retrieval.hashing_encoder(asked.select(F.col("qid").alias("doc_id"), "text")).orderBy("doc_id").collect()]  # the stated query set
+    fields = [c for c in evaluation.query_hints(asked).columns if c not in ("qid", "hinted")]
+    filters = {r.qid: {f: r[f] for f in fields if r[f] is not None} for r in evaluation.query_hints(asked).collect()}
+    named = lambda found, m: found.select(F.lit(m).alias("method"), "qid", F.col("doc_id").alias("clip_id"), "rank")
+    mixed = retrieval.hybrid_search(tags(spark, d), encoded, questions, filters, k)
+    return named(retrieval.bm25(captions, asked, k), "bm25").unionByName(named(retrieval.vector_search(encoded, questions, k), "embedding")).unionByName(named(mixed, "hybrid"))
 
 
 def _labels(spark, d):
-    return evaluation.weak_labels(tables.captions(spark, d), tables.queries(spark))
+    return evaluation.dry_run_scores(tables.captions(spark, d), tables.queries(spark)).where("relevant").select("qid", "clip_id")
 
 
 def _scores(spark, d):
@@ -346,6 +351,21 @@ def candidate_pool(spark, d):
     return evaluation.pool(side("bm25"), side("embedding"), tables.captions(spark, d))
 
 
+@query(S.scores("SELECT origin, count(*) AS n, count(*) FILTER (relevant) AS n_relevant, round(avg(relevant::INT), 4) AS share FROM pool JOIN scored USING (qid, clip_id) GROUP BY 1"))
+def pool_diagnostic(spark, d):
+    return evaluation.pooled_set(candidate_pool(spark, d), evaluation.dry_run_scores(tables.captions(spark, d), tables.queries(spark)))[1]
+
+
+@query(S.scores("SELECT qid, clip_id FROM pool JOIN scored USING (qid, clip_id) WHERE relevant QUALIFY count(*) OVER (PARTITION BY qid) >= 2"))
+def pooled_qrels(spark, d):
+    return evaluation.pooled_set(candidate_pool(spark, d), evaluation.dry_run_scores(tables.captions(spark, d), tables.queries(spark)), 2)[0]
+
+
+@query(S.with_tags(f"SELECT p.* FROM ({S.POSSIBLE}) p ANTI JOIN tags USING (time_of_day, weather, road_type, hazard_level) ORDER BY " + ", ".join(f"list_position({S.strings(T.FIELDS[a])}, {a})" for a in coverage.AXES) + " LIMIT 100"))
+def odd_zero_cells_first(spark, d):
+    return coverage.zero_cells(tags(spark, d), first=100)
+
+
 # density -------------------------------------------------------------------------------------------------------
 
 

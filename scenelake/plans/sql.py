@@ -95,8 +95,8 @@ def _bm25_ctes(k: int) -> list[str]:
         "counted AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, dl, unnest(terms) AS term FROM tok) GROUP BY 1, 2, 3)",
         "df AS (SELECT term, count(*) AS df FROM counted GROUP BY 1)",
         "total AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM tok)",
-        "scored AS (SELECT qid, doc_id, round(sum(weight * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM counted JOIN df USING (term) JOIN wanted USING (term), total GROUP BY 1, 2)",
-        f"bm25 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= {k})",
+        "weighed AS (SELECT qid, doc_id, round(sum(weight * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.5::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM counted JOIN df USING (term) JOIN wanted USING (term), total GROUP BY 1, 2)",
+        f"bm25 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM weighed QUALIFY rank <= {k})",
     ]
 
 
@@ -117,7 +117,8 @@ HINTS = _with(ASKED, _HINT_CTE, body="SELECT * FROM hints")
 
 _LONG = "list_filter(string_split_regex(lower(a.text), '{}'), lambda w: length(w) > 3)"
 _WEAK_CTE = f"weak AS (SELECT qid, clip_id FROM (SELECT qid, clip_id, c.text, {_LONG.format('[^a-z0-9_]+')} AS words FROM captions c, asked a) WHERE len(words) > 0 AND len(list_filter(words, lambda w: NOT contains(lower(text), w))) = 0)"
-WEAK = f", {ASKED}, {_WEAK_CTE}"
+_RECIPE = "recipe AS (SELECT * FROM asked UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({quote(q)}, 'R', {quote(text)})" for q, text in T.RECIPE_QUERIES) + ") t(qid, level, text))"
+WEAK = f", {ASKED}, {_RECIPE}, {_WEAK_CTE.replace('asked a', 'recipe a')}"
 
 _CAUSAL = " OR ".join(f"contains(lower(text), '{s}')" for s in T.CAUSAL_STEMS)
 DRY_RUN = f""", {ASKED}, shared AS (SELECT qid, level, clip_id, ({_CAUSAL}) AS causal, len(list_filter(words, lambda w: contains(lower(text), w))) / greatest(len(words), 1)::DOUBLE AS share
@@ -126,17 +127,28 @@ marked AS (SELECT *, CASE WHEN share >= 0.7::DOUBLE THEN 2 WHEN share >= 0.4::DO
 scored AS (SELECT *, CASE WHEN level IN ('L2', 'L3') THEN condition_score + causal_score >= 3 ELSE condition_score >= 2 END AS relevant FROM marked)"""
 
 
+def _places(table: str, key: str) -> str:
+    return f"SELECT {key}, place, count(*)::DOUBLE AS n FROM (SELECT {key}, ('0x' || substr(md5(term), 1, 7))::BIGINT % 64 AS place FROM (SELECT {key}, unnest({_terms('text')}) AS term FROM {table})) GROUP BY 1, 2"
+
+
 def scores(body: str, k: int = 10) -> str:
-    """The three rankings (ranked), their labels (weak), metrics at 5 (scores) and the candidate pool."""
-    number = "(substr(qid, 2, 1)::BIGINT * 100 + substr(qid, 4, 2)::BIGINT)"
+    """The three rankings (ranked), dry-run labels (scored), metrics at 5 (scores) and the candidate pool."""
+    fits = " AND ".join(f"(h.{f} IS NULL OR " + (f"list_contains(t.{f}, h.{f})" if f in T.MULTI else f"t.{f} = h.{f}") + ")" for f in _HINT_FIELDS)
+    best = f"row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, clip_id) AS rank FROM {{}} QUALIFY rank <= {k}"
     return _with(
-        *_bm25_ctes(k), _WEAK_CTE, _HINT_CTE,
-        f"ranks AS (SELECT qid, {number} AS number, unnest(range(1, {k + 1})) AS rank FROM asked)",
-        "ranked AS (SELECT 'bm25' AS method, qid, doc_id AS clip_id, rank FROM bm25 UNION ALL SELECT 'embedding', qid, (number * 13 + rank * 7) % 200, rank FROM ranks"
-        " UNION ALL SELECT 'hybrid', qid, (number * 13 + rank * CASE WHEN hinted THEN 11 ELSE 7 END) % 200, rank FROM ranks JOIN hints USING (qid))",
-        "found AS (SELECT method, qid, count(w.clip_id) AS n_hits, min(rank) FILTER (w.clip_id IS NOT NULL) AS first FROM ranked r LEFT JOIN weak w USING (qid, clip_id) WHERE rank <= 5 GROUP BY 1, 2)",
-        "scores AS (SELECT method, qid, level, coalesce(n_relevant, 0) AS n_relevant, round(coalesce(n_hits / least(5, n_relevant), 0), 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr"
-        " FROM found LEFT JOIN (SELECT qid, count(*) AS n_relevant FROM weak GROUP BY 1) USING (qid) JOIN (SELECT qid, level FROM asked) USING (qid))",
+        *_bm25_ctes(k), TAGS, _HINT_CTE, DRY_RUN.removeprefix(f", {ASKED}, "),
+        f"clip_cells AS ({_places('captions', 'clip_id')})", f"query_cells AS ({_places('asked', 'qid')})",
+        "near AS (SELECT qid, clip_id, round(sum(c.n * q.n) / (any_value(c.length) * any_value(q.length)), 6) AS cosine FROM (SELECT *, sqrt(sum(n * n) OVER (PARTITION BY clip_id)) AS length FROM clip_cells) c"
+        " JOIN (SELECT *, sqrt(sum(n * n) OVER (PARTITION BY qid)) AS length FROM query_cells) q USING (place) GROUP BY 1, 2)",
+        "every AS (SELECT qid, clip_id, coalesce(cosine, 0) AS cosine FROM (SELECT DISTINCT qid FROM query_cells) CROSS JOIN (SELECT DISTINCT clip_id FROM clip_cells) LEFT JOIN near USING (qid, clip_id))",
+        f"fitting AS (SELECT e.* FROM every e JOIN hints h USING (qid) JOIN tags t USING (clip_id) WHERE hinted AND {fits})",
+        f"filtered AS (SELECT qid, clip_id, {best.format('fitting')})", f"plain AS (SELECT qid, clip_id, {best.format('every')})",
+        "ranked AS (SELECT 'bm25' AS method, qid, doc_id AS clip_id, rank FROM bm25 UNION ALL SELECT 'embedding', qid, clip_id, rank FROM plain"
+        " UNION ALL SELECT 'hybrid', qid, clip_id, rank FROM filtered UNION ALL SELECT 'hybrid', qid, clip_id, rank FROM plain ANTI JOIN filtered USING (qid))",
+        "labels AS (SELECT qid, clip_id FROM scored WHERE relevant)",
+        "found AS (SELECT method, qid, count(w.clip_id) AS n_hits, min(rank) FILTER (w.clip_id IS NOT NULL) AS first FROM ranked r LEFT JOIN labels w USING (qid, clip_id) WHERE rank <= 5 GROUP BY 1, 2)",
+        "scores AS (SELECT method, qid, level, n_relevant, round(n_hits / least(5, n_relevant), 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr"
+        " FROM found JOIN (SELECT qid, count(*) AS n_relevant FROM labels GROUP BY 1) USING (qid) JOIN (SELECT qid, level FROM asked) USING (qid))",
         "chosen AS (SELECT DISTINCT qid, clip_id FROM ranked WHERE method <> 'hybrid')",
         "pool AS (SELECT qid, clip_id, 'ranked' AS origin FROM chosen UNION ALL SELECT qid, clip_id, 'random' FROM (SELECT qid, clip_id FROM (SELECT * FROM (SELECT DISTINCT qid FROM chosen) CROSS JOIN captions) p"
         " ANTI JOIN chosen USING (qid, clip_id)) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY clip_id * 7919 % 10007, clip_id) <= 15)",

@@ -7,6 +7,7 @@ import pytest
 
 from scenelake.operators import cluster, coverage, density, evaluation, retrieval
 from scenelake.operators.search import SearchEngine
+from scenelake.plans import catalogue
 from scenelake.sources import tables
 
 
@@ -78,7 +79,24 @@ def test_metrics(spark):
     labels = spark.createDataFrame([("q", 1), ("q", 2), ("q", 3)], "qid string, clip_id long")
     got = {r.qid: r for r in evaluation.metrics(ranked, labels, 5).collect()}
     assert (got["q"].recall, got["q"].mrr, got["q"].n_relevant) == (pytest.approx(2 / 3, abs=1e-6), 0.5, 3)
-    assert (got["z"].recall, got["z"].mrr) == (0.0, 0.0)
+    assert set(got) == {"q"}  # a query without labels enters no mean
+    timings = spark.createDataFrame([("m", 1.0), ("m", 2.0), ("m", 6.0), ("n", None)], "method string, ms double")
+    assert {tuple(r) for r in evaluation.latency(timings).collect()} == {("m", 3, 3.0, 2.0), ("n", 0, None, None)}
+
+
+def test_plans_tag_once_and_multiply_nothing(spark, sf):
+    plan = lambda name: catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    for name in ("odd_coverage_rate", "odd_gap_axis_counts", "odd_zero_cells", "odd_heat_weather_road"):
+        assert "CartesianProduct" not in plan(name)
+    patterns = plan("odd_tags").count("RLIKE")
+    assert patterns and plan("odd_any_unknown").count("RLIKE") <= patterns and plan("gap_score_7d").count("RLIKE") <= 2 * patterns  # the model, and the rows it scores
+
+
+def test_saved_index(spark, sf, tmp_path):
+    docs = tables.captions(spark, sf).withColumnRenamed("clip_id", "doc_id")
+    retrieval.save_index(docs, str(tmp_path))
+    key = lambda df: sorted(tuple(r) for r in df.select("qid", "doc_id", "score", "rank").collect())
+    assert key(retrieval.saved_bm25(spark, str(tmp_path), tables.queries(spark))) == key(retrieval.bm25(docs, tables.queries(spark)))
 
 
 def test_kde_by_hand(spark):
