@@ -80,11 +80,15 @@ def _evidence(docs: np.ndarray, ones: np.ndarray, n: int, n_ones: float) -> np.n
 
 
 def fit(rows: list[tuple[bytes, int]], seed: int = 7) -> Machine:
-    """rows: text and label 0 or 1. Without rows of both labels the machine gives the share of ones to every text."""
-    labels = np.array([y for _, y in rows], np.float64)
+    """rows: text and label 0 or 1."""
+    return fit_terms([np.array(sorted(terms(x)), np.int64) for x, _ in rows], [y for _, y in rows], seed)
+
+
+def fit_terms(found: list[np.ndarray], marks: list[int], seed: int = 7) -> Machine:
+    """Hashes of each text's terms, and labels 0 or 1. Without texts of both labels the machine gives the share of ones to every text."""
+    labels, rows = np.array(marks, np.float64), found
     share = float(np.clip(labels.mean() if len(rows) else 0.0, 1e-4, 1 - 1e-4))
     bias = float(np.log(share / (1 - share)))
-    found = [np.fromiter(s, np.int64, len(s)) for s in (terms(x) for x, _ in rows)]
     if not len(rows) or labels.min() == labels.max():
         return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, FACTORS)))
     every, place, docs = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
@@ -126,12 +130,24 @@ def fit(rows: list[tuple[bytes, int]], seed: int = 7) -> Machine:
 
 
 def train(docs: DataFrame, labels: DataFrame, fold_of: int = 3, held_out: int = 1, sample: int = SAMPLE) -> Machine:
-    """Fits on labelled texts outside the held-out fold (crc32 of the id as text, modulo fold_of); null labels and ids are no labels."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
-    marked = marked.where(F.crc32(F.col("doc_id").cast("string")) % fold_of != held_out).dropDuplicates(["doc_id"])
-    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = id_and_text(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).join(F.broadcast(marked), "doc_id").select("doc_id", "toxic", "text").collect()
-    return fit([(text.encode(), y) for _, y, text in sorted((r.doc_id, r.toxic, r.text or "") for r in rows)])
+    """Fits on labelled texts outside the held-out fold (crc32 of the id as text, modulo fold_of).
+
+    Null labels and ids are no labels. Of several labels of one id the greatest holds; of several texts of one id the
+    first by hash. The texts of the sample become term hashes on the executors; only those reach the driver.
+    """
+    marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and id is not null")
+    marked = marked.where(F.crc32(F.col("id").cast("string")) % fold_of != held_out).groupBy("id").agg(F.max("toxic").alias("toxic"))
+    marked = marked.orderBy(F.xxhash64("id"), "id").limit(sample)
+    own = id_and_text(docs).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).join(F.broadcast(marked), F.col("doc_id") == F.col("id"))  # sample rows at most
+    own = own.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    def count(batches):
+        for b in batches:
+            found = [np.array(sorted(terms(x)), np.uint32).tobytes() for x in texts_of(b)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(found, pa.binary())], names=["doc_id", "toxic", "terms"])
+
+    rows = sorted(own.mapInArrow(count, "doc_id long, toxic int, terms binary").collect(), key=lambda r: r.doc_id)
+    return fit_terms([np.frombuffer(r.terms, np.uint32).astype(np.int64) for r in rows], [r.toxic for r in rows])
 
 
 def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:

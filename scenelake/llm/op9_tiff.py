@@ -30,6 +30,9 @@ CLEAR, END = 256, 257
 
 #: Samples in a row, and rows of a strip and a page, of the files that are written here.
 STORED_WIDTH, STORED_STRIP, STORED_PAGE = 64, 1024, 65_536
+TILE = 32
+#: Bytes of samples that a page may have, and that a file's pages may have together.
+MOST_BYTES = 1 << 28
 
 
 class TiffError(ValueError):
@@ -186,31 +189,49 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
-def decode(data: bytes) -> list[Page]:
-    """The pages of a file: samples of 8, 16 or 32 bits, in one plane or several."""
-    pages = []
+def decode(data: bytes, most: int = MOST_BYTES) -> list[Page]:
+    """The pages of a file: samples of 8, 16 or 32 bits, in one plane or several.
+
+    Sizes are checked before anything is made of them: a file that declares more than it can hold is an error, as is one
+    whose pages have more than `most` bytes of samples.
+    """
+    pages, total = [], 0
     for number, (order, f) in enumerate(directories(data)):
-        one = lambda tag, default=None: f.get(tag, (default,))[0]  # noqa: E731, B023
+        def one(tag: int, default: int | None = None, f: dict = f) -> int:
+            if not f.get(tag, (default,)) or f.get(tag, (default,))[0] is None:
+                raise TiffError(f"field {tag} is missing")
+            return f.get(tag, (default,))[0]
+
         width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
         bits, compression, predictor, planes = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
-        if not width or not height or bits not in (8, 16, 32) or len(set(f.get(BITS, (1,)))) > 1:
+        if width < 1 or height < 1 or samples < 1 or bits not in (8, 16, 32) or len(set(f.get(BITS, (1,)))) > 1:
             raise TiffError("size or sample width not supported")
-        if predictor not in (1, 2):
-            raise TiffError(f"predictor {predictor} not supported")
+        if predictor not in (1, 2) or planes not in (1, 2):
+            raise TiffError("predictor or planes not supported")
         kind = np.dtype(f"{order}u{bits // 8}")
         tiled = TILE_OFFSETS in f
         across, down = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
-        offsets, counts = (f[TILE_OFFSETS], f[TILE_COUNTS]) if tiled else (f[STRIP_OFFSETS], f[STRIP_COUNTS])
+        if across < 1 or down < 1:
+            raise TiffError("strips or tiles without rows or columns")
+        offsets, counts = (f.get(TILE_OFFSETS, ()), f.get(TILE_COUNTS, ())) if tiled else (f.get(STRIP_OFFSETS, ()), f.get(STRIP_COUNTS, ()))
         layers, deep = (samples, 1) if planes == 2 else (1, samples)
         columns, lines = -(-width // across), -(-height // down)
-        if len(offsets) < layers * columns * lines or len(counts) < len(offsets):
+        blocks = layers * columns * lines
+        if len(offsets) < blocks or len(counts) < len(offsets):
             raise TiffError("too few strips or tiles")
+        size = width * height * samples * bits // 8
+        total += size
+        # what a strip or tile can hold at most for each of its bytes: deflate 1032, LZW 3640 / 1.5, PackBits 64
+        if max(size, blocks * across * down * deep * bits // 8) > 4000 * max(1, len(data)) or total > most or across * down * deep * bits // 8 > most:
+            raise TiffError("more samples declared than the file can hold")
         pixels = np.zeros((height, width, samples), kind.newbyteorder("="))
-        for k in range(layers * columns * lines):
+        for k in range(blocks):
             layer, rest = divmod(k, columns * lines)
             line, column = divmod(rest, columns)
             rows = down if tiled else min(down, height - line * down)
             size = rows * across * deep * bits // 8
+            if offsets[k] < 0 or counts[k] < 0 or offsets[k] + counts[k] > len(data):
+                raise TiffError("a strip or tile beyond the end")
             raw = data[offsets[k] : offsets[k] + counts[k]]
             if compression == NONE:
                 raw = raw[:size]
@@ -234,8 +255,20 @@ def decode(data: bytes) -> list[Page]:
     return pages
 
 
-def encode(payload: bytes, compression: int = DEFLATE, predictor: int = 1, strip: int = STORED_STRIP, page: int = STORED_PAGE, width: int = STORED_WIDTH) -> bytes:
-    """Stores bytes, a multiple of width, as 8-bit grey samples: pages of at most `page` rows in strips of `strip` rows."""
+def _tiles(image: np.ndarray, predictor: int) -> list[bytes]:
+    """The tiles of an 8-bit image, row by row; those at the edge are filled up with 0."""
+    out = []
+    for y in range(0, image.shape[0], TILE):
+        for x in range(0, image.shape[1], TILE):
+            tile = np.zeros((TILE, TILE), np.uint8)
+            part = image[y : y + TILE, x : x + TILE]
+            tile[: part.shape[0], : part.shape[1]] = part
+            out.append((np.diff(tile, axis=1, prepend=np.uint8(0)) if predictor == 2 else tile).astype(np.uint8).tobytes())
+    return out
+
+
+def encode(payload: bytes, compression: int = DEFLATE, predictor: int = 1, strip: int = STORED_STRIP, page: int = STORED_PAGE, width: int = STORED_WIDTH, tiled: bool = False) -> bytes:
+    """Stores bytes, a multiple of width, as 8-bit grey samples: pages of at most `page` rows in strips of `strip` rows, or in tiles of 32 x 32."""
     pack = {NONE: bytes, PACKBITS: pack_bits, LZW: lzw, DEFLATE: lambda x: zlib.compress(x, 1)}[compression]
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
     for at in range(0, len(payload), page * width):
@@ -243,13 +276,19 @@ def encode(payload: bytes, compression: int = DEFLATE, predictor: int = 1, strip
         if predictor == 2:
             rows = np.frombuffer(image, np.uint8).reshape(-1, width)
             image = np.diff(rows, axis=1, prepend=np.zeros((len(rows), 1), np.uint8)).astype(np.uint8).tobytes()
+        parts = [image[s : s + strip * width] for s in range(0, len(image), strip * width)]
+        if tiled:
+            parts = _tiles(np.frombuffer(payload, np.uint8)[at : at + page * width].reshape(-1, width), predictor)
         offsets, counts = [], []
-        for s in range(0, len(image), strip * width):
-            packed = pack(image[s : s + strip * width])
+        for part in parts:
+            packed = pack(part)
             offsets.append(len(out))
             counts.append(len(packed))
             out += packed + b"\0" * (len(packed) % 2)
         fields = [(WIDTH, (width,)), (HEIGHT, (len(image) // width,)), (BITS, (8,)), (COMPRESSION, (compression,)), (PHOTOMETRIC, (1,)), (STRIP_OFFSETS, tuple(offsets)), (SAMPLES, (1,)), (ROWS_PER_STRIP, (strip,)), (STRIP_COUNTS, tuple(counts)), (PREDICTOR, (predictor,))]
+        if tiled:
+            fields = [x for x in fields if x[0] not in (STRIP_OFFSETS, ROWS_PER_STRIP, STRIP_COUNTS)]
+            fields += [(TILE_WIDTH, (TILE,)), (TILE_HEIGHT, (TILE,)), (TILE_OFFSETS, tuple(offsets)), (TILE_COUNTS, tuple(counts))]
         places = {}
         for tag, values in fields:
             if len(values) > 1:
@@ -281,7 +320,7 @@ def read_tiff(media: DataFrame, column: str, key: str) -> DataFrame:
                     if not x:
                         raise TiffError("no bytes")
                     found = [(p.number, p.width, p.height, p.samples, p.bits, p.compression, p.pixels.astype(p.pixels.dtype.newbyteorder("<")).tobytes(), None) for p in decode(x)]
-                except (TiffError, struct.error, zlib.error, KeyError) as e:
+                except (ValueError, struct.error, zlib.error, LookupError, ArithmeticError, MemoryError) as e:
                     found = [(-1, None, None, None, None, None, None, str(e)[:200])]
                 for row in found:
                     yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], b.schema.field("key").type), *[pa.array([v], t) for v, t in zip(row, (pa.int32(),) * 6 + (pa.binary(), pa.string()), strict=True)]], names=["key", "page", "width", "height", "samples", "bits", "compression", "pixels", "error"])
@@ -289,21 +328,33 @@ def read_tiff(media: DataFrame, column: str, key: str) -> DataFrame:
     return rows.mapInArrow(pages, f"key {kind}, page int, width int, height int, samples int, bits int, compression int, pixels binary, error string").withColumnRenamed("key", key)
 
 
+#: Forms that texts are stored in; a checksum of the bytes picks one. Pixels in tiles have 32 rows each.
+FORMS = tuple((compression, predictor, tiled) for compression in (DEFLATE, LZW, PACKBITS, NONE) for predictor in (1, 2) for tiled in (False, True))
+
+
+def form_of(payload: bytes) -> tuple[int, int, bool]:
+    return FORMS[zlib.crc32(payload) % len(FORMS)]
+
+
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media: each text as a TIFF file.
+    """doc_id, n_bytes, media: each text as a TIFF file, in one of FORMS.
 
     The text's bytes (null: none) are padded with bytes 0 to a positive multiple of 64. Ids may be null or
     repeated; equal texts have equal files; an empty table gives an empty result.
     """
 
-    def store(batches):
+    def store(payload: bytes) -> bytes:
+        compression, predictor, tiled = form_of(payload)
+        return encode(payload, compression, predictor, tiled=tiled)
+
+    def store_all(batches):
         for b in batches:
             texts = texts_of(b)
             for at in range(0, len(texts), 256):
                 part = texts[at : at + 256]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(part)), pa.array(map(len, part), pa.int64()), pa.array([encode(padded(x)) for x in part], pa.binary())], names=["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(part)), pa.array(map(len, part), pa.int64()), pa.array([store(padded(x)) for x in part], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return id_and_text(docs).mapInArrow(store, "doc_id long, n_bytes long, media binary")
+    return id_and_text(docs).mapInArrow(store_all, "doc_id long, n_bytes long, media binary")
 
 
 def padded(x: bytes) -> bytes:

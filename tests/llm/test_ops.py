@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from scenelake.llm import exchange, op1_simhash, op2_toxicity, op3_mix, op4_substring, op5_decontaminate, op6_licenses, op7_suffix, op8_language, op9_tiff, op10_tokens
 from scenelake.llm.components import connected
@@ -146,6 +147,19 @@ def test_op2(spark, sf, docs, empty):
     assert op2_toxicity.train(docs, spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int")).score(b"x") >= 0
 
 
+def test_op2_conflicting_labels_and_scores(spark):
+    rows = [(i, f"{prose(12)} {'dolt folk' if i % 3 == 0 else 'calm'}") for i in range(300)] + [(5, "another text under the same id")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, int(i % 3 == 0)) for i in range(300)] + [(6, 0), (5, 1), (5, None)]
+    trained = [op2_toxicity.train(docs.repartition(n), spark.createDataFrame(labels[::step], "doc_id long, toxic int")) for n, step in ((3, 1), (5, -1))]
+    assert (trained[0].hashes == trained[1].hashes).all() and (trained[0].factors == trained[1].factors).all()
+    m = trained[0]
+    for text in ("dolt folk here", "calm", "", "dolt " * 50):
+        own = [i for h in op2_toxicity.terms(text.encode()) if (i := m.index.get(h)) is not None]
+        z = m.bias + sum(m.linear[i] for i in own) + sum(float(m.factors[a] @ m.factors[b]) for k, a in enumerate(own) for b in own[:k])
+        assert m.score(text.encode()) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
 def test_op2_held_out(spark):
     rows = op2_toxicity.op2(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").select("toxic", "predicted").collect()
     hit = sum(r.toxic and r.predicted for r in rows)
@@ -168,6 +182,47 @@ def test_op8(spark, sf, docs, empty):
     assert op8_language.keep_known(docs).columns == docs.columns
 
 
+def test_op8_rejects_what_is_far(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = op8_language.train(docs)
+    draw = random.Random(3)
+    junk = lambda n, letters: " ".join("".join(draw.choice(letters) for _ in range(draw.randint(2, 9))) for _ in range(n))
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + i) for i in range(2000)), "".join(chr(0x430 + i) for i in range(32))]
+    foreign = [junk(n, a) for n in (30, 300, 3000) for a in alphabets]
+    rows = [(i, t, "en") for i, t in enumerate(foreign)] + [(100, "Avec.", None), (101, None, None), (102, "12 --", None)]
+    planted = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in op8_language.detect(planted, model).collect()}
+    assert all(out[i].rejected and out[i].lang_pred != "und" for i in range(len(foreign))) and not out[100].rejected and out[101].rejected and out[102].lang_pred == "und"
+    mixed = docs.select("doc_id", "text", "lang").unionByName(planted.withColumn("lang", F.lit(None).cast("string")).withColumn("doc_id", F.col("doc_id") + 10**6))
+    kept = {r.doc_id for r in op8_language.keep_known(mixed).select("doc_id").collect()}
+    assert docs.where("text is not null").count() - len([i for i in kept if i < 10**6]) <= 5 and {i - 10**6 for i in kept if i >= 10**6} <= {100}
+
+
+def test_op8_is_the_nearest_centroid():
+    texts = [(x, prose(40)) for x in ("a", "b") for _ in range(12)]
+    rows = [(x, next(op8_language.bags([t.encode()])), None) for x, t in texts]
+    model = op8_language.fit(rows)
+    for text in ("the rain of w1", "thonre erst über", prose(30)):
+        counts = {}
+        folded = " ".join("".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()).split()).encode()
+        line = b" " + folded + b" "
+        for i in range(len(line) - 2):
+            h = ((line[i] << 16 | line[i + 1] << 8 | line[i + 2]) * 2654435761) % 2**32 >> 17
+            counts[h] = counts.get(h, 0) + 1
+        vector = np.zeros(op8_language.BUCKETS)
+        for h, n in counts.items():
+            vector[h] = np.log1p(n) * model.idf[h]
+        cosines = vector / np.linalg.norm(vector) @ model.weights / np.linalg.norm(model.weights, axis=0)
+        (name,), (score,), _ = model.predict([text.encode()])
+        assert name == model.languages[int(cosines.argmax())] and score == pytest.approx(cosines.max(), abs=1e-5)
+
+
+def test_op8_learns_every_language(spark):
+    rows = [(i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 4} {prose(2)}", f"l{i}") for i in range(230)]
+    model = op8_language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(set(model.languages)) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(230))
+
+
 # 3
 
 
@@ -199,6 +254,16 @@ def test_op3(docs, empty, spark):
     assert op3_mix.emit(unique, again).count() == again.selectExpr("sum(copies)").first()[0]
 
 
+def test_op3_more_shelves_for_a_hot_source(spark):
+    rows = [(i, "w " * (i % 50), f"s{int(i % 3 == 0)}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in op3_mix.mix_sources(docs, shelf_rows=20).groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+        assert r["sum(taken)"] == pytest.approx(r["max(target)"], rel=0.02)
+    clash = docs.limit(20).withColumn("copy", F.lit("mine")).withColumn("copies", F.lit(9))
+    out = op3_mix.emit(clash, op3_mix.mix_sources(clash))
+    assert out.columns == ["doc_id", "text", "source", "copy_given", "copies", "copy"] and {r.copy_given for r in out.collect()} == {"mine"}
+
+
 def test_op3_comes_near_target(spark):
     rows = [(i, "w " * (5 + i * 37 % 200), f"s{i % 4 if i % 3 else 0}") for i in range(4000)]
     for r in op3_mix.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
@@ -282,7 +347,7 @@ def test_suffix_array(alphabet):
     for n in (1, 2, 3, 7, 40, 300):
         for _ in range(5):
             t = bytes(random.choice(alphabet) for _ in range(n))
-            order = suffix_array(np.frombuffer(t, np.uint8), 320)
+            order = suffix_array(np.frombuffer(t, np.uint8))
             assert order.tolist() == sorted(range(n), key=lambda i: t[i:])
             shared = permuted_prefixes(np.frombuffer(t, np.uint8), order)
             for a, b in zip(order[1:], order[:-1], strict=True):
@@ -292,6 +357,42 @@ def test_suffix_array(alphabet):
                 assert shared[a] == k
 
 
+def test_long_prefixes():
+    t = np.frombuffer(bytes(random.choice(b"abc") for _ in range(2000)) * 2, np.uint8)
+    order = suffix_array(t)
+    assert order.tolist() == sorted(range(4000), key=lambda i: t.tobytes()[i:])
+    shared = permuted_prefixes(t, order)
+    assert all(shared[i] == 2000 - i for i in range(1, 1900, 90))
+
+
+@pytest.mark.parametrize("window", [300, 600, 2000])
+def test_op7_windows(spark, window):
+    long = prose(900)
+    rows = spark.createDataFrame([(1, long), (2, prose(20) + long), (3, long[: len(long) // 2] + prose(300)), (4, None), (5, long)], "doc_id long, text string")
+    want = brute_bytes(rows, window)
+    assert rows_of(op7_suffix.remove_repeats(rows, window)) == want and sum(x[2] for x in want) > 5000
+
+
+def test_op4_compares_words_not_hashes(spark):
+    """Polynomial hashes modulo 2^64 take a Thue-Morse word and its complement for the same, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    head = prose(19)
+    rows = spark.createDataFrame([(1, f"{head} {one}"), (2, f"{head} {other}"), (3, f"{prose(5)} {head} {other}"), (4, "x" * 1_000_000 + " " + head), (5, "x" * 1_000_000 + " " + head)], "doc_id long, text string")
+    want = brute_words(rows, 20)
+    assert rows_of(op4_substring.remove_repeats(rows)) == want and [x[2] for x in want] == [0, 0, 20, 0, 20]
+
+
+def test_sql_of_4_and_7(spark, sf):
+    import duckdb
+
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for query, oracle in ((op4_substring.op4, op4_substring.oracle()), (op7_suffix.op7, op7_suffix.oracle())):
+        got = query(spark, sf)
+        assert sorted(map(tuple, got.collect())) == sorted(db.sql(f"SELECT {', '.join(got.columns)} FROM ({oracle})").fetchall())
+
+
 def test_packing():
     values = np.sort(np.random.default_rng(0).integers(0, 2**64, 100, np.uint64))
     assert (exchange.unpack(exchange.pack(values), 100) == values).all()
@@ -333,6 +434,8 @@ def test_op5(spark, docs, empty):
     assert all(r.edits == 0 and r.start == 50 for r in got if r.doc_id % 10 == 0 and 10 <= r.doc_id < 100 and r.doc_id // 10 - 1 == r.item_id)
     assert op5_decontaminate.find_leaks(empty, bench).count() == 0 and op5_decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
     assert op5_decontaminate.drop_contaminated(docs, bench).columns == docs.columns
+    rows = spark.createDataFrame([(None, items[3][1], 1), (7, items[3][1], 2), (7, "clean", 3), (None, None, 4), (8, "", 5)], "doc_id long, text string, leaked_ int")
+    assert sorted(r.leaked_ for r in op5_decontaminate.drop_contaminated(rows, bench).collect()) == [3, 4, 5]
 
 
 def test_op5_recall():
@@ -362,6 +465,9 @@ def test_op6(spark, docs):
     ]
     got = {r.n: r for r in op6_licenses.scan_licences(spark.createDataFrame(files, "path string, text string, n int")).collect()}
     assert {n: r.licence for n, r in got.items()} == {1: "MIT", 2: "GPL-3.0", 3: "GPL-3.0", 4: "Apache-2.0", 5: "MIT", 6: "CC-BY-NC-4.0", 7: None, 8: "MIT", 9: "CC-BY-NC-4.0", 10: "CC-BY-4.0"}
+    clash = spark.createDataFrame([("a/LICENSE", "x", "mine", 7)], "path string, text string, own string, score int")
+    row = op6_licenses.scan_licences(clash).first()
+    assert (row.own_given, row.score_given, row.own, row.score) == ("mine", 7, None, 0.0)
     assert got[2].inherited_from == "a/b/COPYING" and not got[10].licence_file and got[1].licence_file and got[4].inherited_from is None
     assert op6_licenses.scan_licences(spark.createDataFrame([], "path string, text string")).count() == 0
 
@@ -370,8 +476,43 @@ def test_op6_on_documents(spark, sf):
     import re
 
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    for r in op6_licenses.op6(spark, sf).collect():
+    rows = {r.doc_id: r for r in op6_licenses.op6(spark, sf).collect()}
+    files = {}
+    for r in sorted(rows.values(), key=lambda r: r.path, reverse=True):
         assert (r.own is not None) == bool(re.search("licensed under|Released under", texts[r.doc_id], re.IGNORECASE)), r
+        if r.licence_file:
+            files[r.path.rpartition("/")[0]] = r
+    for r in rows.values():  # the nearest ancestor's licence, by walking up
+        at, want = r.path, None
+        while r.own is None and "/" in at and want is None:
+            at = at.rpartition("/")[0]
+            want = files.get(at)
+        assert (r.licence, r.inherited_from) == ((r.own, None) if want is None else (want.own, want.path))
+
+
+def test_op6_inherits(spark):
+    rows = op6_licenses.op6(spark, "/root/testdata/sf0.01").where("inherited_from is not null")
+    assert rows.count() > 10
+
+
+NOTICES = [
+    ("MIT", "We left early. Released under the MIT License. The road was dry, and nobody spoke of it again."), ("Apache-2.0", "This article was Licensed under the Apache License, Version 2.0. Read more on our site."),
+    ("GPL-3.0", "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."),
+    ("MIT", "// SPDX-License-Identifier: MIT\nint main"), ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without\n modification, are permitted provided that the following conditions are met:"),
+    (None, "a licence to drive, version 2.0, under the bridge"), (None, "mit mit isc"), (None, ""), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n" + "more " * 3000),
+]
+
+
+def test_op6_passages():
+    model = op6_licenses.Templates()
+    for name, text in NOTICES:
+        found, score, whole = model.scan(text)
+        assert found == name and (score >= 0.8 - 1e-9) == (name is not None), text
+        # every window of every template's length, without triggers
+        words = op6_licenses._WORD.findall(text.lower())[:200]
+        best = max((model.cosine(words[i : i + len(t)], k) for k, t in enumerate(model.words) for i in range(max(1, len(words) - len(t) + 1)) if op6_licenses.TAG not in t), default=0.0)
+        assert "SPDX" in text or name is None and text.startswith("mit") or (best >= 0.8 - 1e-9) == (name is not None)
+    assert model.scan(NOTICES[-1][1])[2] and not model.scan(NOTICES[0][1])[2]
 
 
 # 9
@@ -435,6 +576,35 @@ def test_op9(docs, empty, spark):
     assert len([r for r in pages if r.page == -1 and r.error]) == 4
 
 
+def test_broken_tiff():
+    import struct
+
+    draw, caught = random.Random(4), 0
+    for form in op9_tiff.FORMS:
+        whole = op9_tiff.encode(prose(20).encode().ljust(192, b"."), form[0], form[1], tiled=form[2])
+        for _ in range(120):
+            media = bytearray(whole[: draw.choice([len(whole), draw.randrange(len(whole))])])
+            for _ in range(draw.randrange(1, 5)):
+                if media:
+                    media[draw.randrange(len(media))] = draw.choice([0, 1, 255, draw.randrange(256)])
+            try:
+                op9_tiff.decode(bytes(media))
+            except (ValueError, struct.error, zlib.error, LookupError, ArithmeticError):
+                caught += 1
+    assert caught > 500
+    for tag, value in ((256, 2**32 - 1), (257, 2**32 - 1), (256, 0), (278, 0), (277, 0), (273, 2**31)):
+        media = bytearray(op9_tiff.encode(b"x" * 640))
+        place = media.index(struct.pack("<HHI", tag, 4, 1)) + 8
+        struct.pack_into("<I", media, place, value)
+        with pytest.raises(op9_tiff.TiffError):
+            op9_tiff.decode(bytes(media))
+
+
+def test_forms_are_all_stored(spark, sf):
+    texts = [r.text.encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    assert {op9_tiff.form_of(op9_tiff.padded(t)) for t in texts} == set(op9_tiff.FORMS)
+
+
 # 10
 
 
