@@ -454,6 +454,22 @@ def test_op5_recall():
     assert n > 40 and hit / n >= 0.95
 
 
+@pytest.mark.parametrize("size", [10, 50, 150, 300])
+@pytest.mark.parametrize("before", [0, 100])
+def test_op5_recall_of_crowded_edits(size, before):
+    """All the edits that are allowed at the front, at the end or at both, in a text that opens with the item or holds it."""
+    items = [(i, prose(size + i % 5)) for i in range(20)]
+    block = op5_decontaminate.Items([k for k, _ in items], [t.encode() for _, t in items])
+    texts = []
+    for k, t in items:
+        w, m = t.split(), int(0.2 * len(t.split()))
+        swapped = ["new" if i < 2 * m and i % 2 else x for i, x in enumerate(w)]
+        for left in (w[m:], w[: len(w) - m], w[m // 2 : len(w) - (m - m // 2)], ["new"] * m + w[m:], swapped):
+            texts.append((k, " ".join([prose(before), *left, prose(before)])))
+    got = {(d, i) for d, i, *_ in block.search(op5_decontaminate.words_of([t.encode() for _, t in texts]))}
+    assert sum((j, k) in got for j, (k, _) in enumerate(texts)) >= 0.95 * len(texts)
+
+
 # 6
 
 
