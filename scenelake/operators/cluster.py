@@ -1,15 +1,19 @@
-"""Projections and clusters of vectors: PCA, k-means, density clustering of a sample, magnitude, LSH."""
+"""Projections and clusters of vectors: PCA, k-means, density clustering, magnitude, LSH."""
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points that are clustered by density, and points of a cluster whose magnitude is taken, at most.
-SAMPLE, PER_CLUSTER = 2000, 200
+from scenelake.operators import spanning
+
+#: Points of a cluster whose magnitude is taken, at most.
+PER_CLUSTER = 200
 
 
 def pca(points: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
@@ -58,16 +62,14 @@ def kmeans(points: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
 
 
 def density_labels(x: np.ndarray, min_size: int = 50, min_samples: int = 10) -> np.ndarray:
-    """Hierarchical density clustering (Campello et al. 2013): labels from 0, -1 for noise.
+    """Hierarchical density clustering (Campello et al. 2013) of points in memory: labels from 0, -1 for noise.
 
-    Core distances give mutual reachabilities; a minimum spanning tree of those, cut from the longest edge, is
-    condensed to clusters of at least min_size, of which the most stable that do not overlap are taken.
+    Core distances give mutual reachabilities, of which a minimum spanning tree is made and condensed.
     """
     n = len(x)
     if n < max(2, min_size):
         return np.full(n, -1)
-    square = (x**2).sum(axis=1)
-    d = np.sqrt(np.maximum(square[:, None] + square - 2 * x @ x.T, 0))
+    d = spanning.distances(x, x)
     core = np.sort(d, axis=1)[:, min(min_samples, n - 1)]
     reach = np.maximum(d, np.maximum(core[:, None], core))
     best, parent, inside = reach[0].copy(), np.zeros(n, int), np.zeros(n, bool)
@@ -78,9 +80,19 @@ def density_labels(x: np.ndarray, min_size: int = 50, min_samples: int = 10) ->
         inside[j] = True
         closer = reach[j] < best
         best[closer], parent[closer] = reach[j][closer], j
-    # single linkage: node n + i joins two nodes at the i-th shortest edge
-    tree, size = [], [1] * n
-    root = list(range(2 * n - 1))
+    return condense(n, edges, min_size)
+
+
+def condense(n: int, edges: list[tuple[float, int, int]], min_size: int) -> np.ndarray:
+    """Labels of n points from the edges of their spanning tree.
+
+    Cut from the longest edge, the tree is condensed to clusters of at least min_size, of which the most stable that
+    do not overlap are taken.
+    """
+    # single linkage: edges of equal length join all their sides at once, so that any least tree gives the same nodes
+    tree: list[tuple[list[int], float]] = []
+    size, first = [1] * n, list(range(n))
+    root = list(range(n))
 
     def find(a: int) -> int:
         while root[a] != a:
@@ -88,15 +100,23 @@ def density_labels(x: np.ndarray, min_size: int = 50, min_samples: int = 10) ->
             a = root[a]
         return a
 
-    for w, a, b in sorted(edges):
-        a, b = find(a), find(b)
-        tree.append((a, b, w))
-        size.append(size[a] + size[b])
-        root[a] = root[b] = n + len(tree) - 1
-    # condense: walk down; a split with two large sides starts two clusters
-    members: list[list[tuple[int, float]]] = [[]]
+    for w, alike in itertools.groupby(sorted(edges), key=lambda e: e[0]):
+        sides: dict[int, list[int]] = {}
+        for _, a, b in alike:
+            a, b = find(a), find(b)
+            root[a] = b
+            sides[b] = sides.pop(b, [b]) + sides.pop(a, [a])
+        for a, joined in sides.items():
+            joined.sort(key=first.__getitem__)
+            tree.append((joined, w))
+            size.append(sum(size[s] for s in joined))
+            first.append(first[joined[0]])
+            root.append(len(root))
+            root[a] = len(root) - 1
+    # condense: walk down; a split with two or more large sides starts clusters
+    members: list[list[int]] = [[]]
     born, children, held = [0.0], [[]], [0.0]
-    stack = [(2 * n - 2, 0)]
+    stack = [(len(size) - 1, 0)]
 
     def points(node: int) -> list[int]:
         out, todo = [], [node]
@@ -105,18 +125,22 @@ def density_labels(x: np.ndarray, min_size: int = 50, min_samples: int = 10) ->
             if a < n:
                 out.append(a)
             else:
-                todo += tree[a - n][:2]
+                todo += tree[a - n][0]
         return out
 
     while stack:
         node, c = stack.pop()
         if node < n:
-            members[c].append((node, np.inf))
+            members[c].append(node)
             continue
-        a, b, w = tree[node - n]
+        parts, w = tree[node - n]
         lam = 1 / max(w, 1e-12)
-        big = [s for s in (a, b) if size[s] >= min_size]
-        if len(big) == 2:
+        big = [s for s in parts if size[s] >= min_size]
+        leaving = [s for s in parts if size[s] < min_size]
+        if len(big) == 1:
+            stack.append((big[0], c))
+            held[c] += (lam - born[c]) * sum(size[s] for s in leaving)
+        else:
             held[c] += (lam - born[c]) * size[node]
             for s in big:
                 members.append([])
@@ -125,14 +149,8 @@ def density_labels(x: np.ndarray, min_size: int = 50, min_samples: int = 10) ->
                 held.append(0.0)
                 children[c].append(len(members) - 1)
                 stack.append((s, len(members) - 1))
-        else:
-            for s in (a, b):
-                if s in big:
-                    stack.append((s, c))
-                else:
-                    for p in points(s):
-                        members[c].append((p, lam))
-                        held[c] += lam - born[c]
+        for s in leaving:
+            members[c] += points(s)
     chosen = [True] * len(members)
     total = held[:]
     for c in range(len(members) - 1, -1, -1):
@@ -149,7 +167,7 @@ def density_labels(x: np.ndarray, min_size: int = 50, min_samples: int = 10) ->
             inner, all_members = [c], []
             while inner:
                 k = inner.pop()
-                all_members += [p for p, _ in members[k]]
+                all_members += members[k]
                 inner += children[k]
             labels[all_members] = number
             number += 1
@@ -157,24 +175,25 @@ def density_labels(x: np.ndarray, min_size: int = 50, min_samples: int = 10) ->
     return labels
 
 
-def density_clusters(points: DataFrame, min_size: int = 50, min_samples: int = 10, n: int = SAMPLE) -> DataFrame:
-    """id, cluster: a bounded sample is clustered by density, every row takes the cluster of its nearest sampled point."""
-    rows = points.orderBy(F.xxhash64("id"), "id").limit(n).select("x").collect()
-    kind = points.schema["id"].dataType.simpleString()
-    if not rows:
-        return points.select("id", F.lit(-1).alias("cluster"))
-    base = np.array([r.x for r in rows], np.float64)
-    shared = points.sparkSession.sparkContext.broadcast((base, density_labels(base, min_size, min_samples)))  # n points at most
-
-    def assign(batches):
-        base, labels = shared.value
-        square = (base**2).sum(axis=1)
-        for b in batches:
-            x = np.array(b.column("x").to_pylist(), np.float64).reshape(-1, base.shape[1])
-            out = [labels[(square - 2 * x[at : at + 1024] @ base.T).argmin(axis=1)] for at in range(0, len(x), 1024)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.concatenate(out) if out else [], pa.int32())], names=["id", "cluster"])
+def density_clusters(points: DataFrame, min_size: int = 50, min_samples: int = 10, block: int = spanning.BLOCK) -> DataFrame:
+    """id, cluster: all points are clustered by density, none is sampled; -1 is noise.
 
-    return points.select("id", "x").mapInArrow(assign, f"id {kind}, cluster int")
+    A point without coordinates is noise, and so is everything where there are fewer than min_size points. Repeated rows
+    are points of their own. Only the edges of the tree, 24 bytes a point, come together in one task, which condenses them.
+    """
+    nodes = spanning.numbered(points)
+    tree = spanning.spanning_tree(nodes, min_samples, block)
+
+    def labels(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends = pdf[["lo", "hi"]].to_numpy(np.int64)
+        node, at = np.unique(ends, return_inverse=True)
+        at = at.reshape(-1, 2)
+        found = condense(len(node), list(zip(pdf["w"].tolist(), at[:, 0].tolist(), at[:, 1].tolist(), strict=True)), min_size) if len(node) >= min_size else np.full(len(node), -1)
+        return pd.DataFrame({"at": node, "found": found.astype(np.int32)})
+
+    found = tree.withColumn("tree", F.lit(0)).groupBy("tree").applyInPandas(labels, "at long, found int")
+    clustered = nodes.join(found, F.col("node") == F.col("at"), "left").select("id", F.coalesce("found", F.lit(-1)).alias("cluster"))
+    return clustered.unionByName(points.where(F.col("x").isNull() | F.exists("x", lambda v: v.isNull())).select("id", F.lit(-1).alias("cluster")))
 
 
 def magnitude(x: np.ndarray, t: float = 1.0) -> tuple[float, np.ndarray]:

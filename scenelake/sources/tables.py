@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -17,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder where lineages are cut: the one that spark.checkpoint.dir names; a local session that names none gets a temporary one."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return named or sc.getCheckpointDir()
+
+
 def clip_id(path: Column, suffixes: tuple = CAPTION_SUFFIXES) -> Column:
     """The file name without the first known suffix that fits, else without its extension."""
     name = F.element_at(F.split(path, "/"), -1)
