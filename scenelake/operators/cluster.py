@@ -179,7 +179,8 @@ def density_clusters(points: DataFrame, min_size: int = 50, min_samples: int = 1
     """id, cluster: all points are clustered by density, none is sampled; -1 is noise.
 
     A point without coordinates is noise, and so is everything where there are fewer than min_size points. Repeated rows
-    are points of their own. Only the edges of the tree, 24 bytes a point, come together in one task, which condenses them.
+    are points of their own. Only the edges of the tree come together in one task,
+    which condenses them; its memory grows with the points.
     """
     nodes = spanning.numbered(points)
     tree = spanning.spanning_tree(nodes, min_samples, block)
