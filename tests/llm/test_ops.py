@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -637,3 +638,18 @@ def test_op10(docs, empty):
     want = sorted((str(r.doc_id), len((r.text or "").encode()), len(library.encode(r.text or ""))) for r in docs.collect())
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in rows) == want and all(r.over_limit == (r.n_tokens > 400) for r in rows)
     assert op10_tokens.count_tokens(empty, path).count() == 0
+
+
+def test_op7_messages_by_slice():
+    """A group sends one message to a slice, however many shards the slice has: rows grow with groups x slices alone."""
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("abcdefgh ") for _ in range(3000)) for _ in range(20)]
+    group = pa.table({"doc_id": pa.array(range(40), pa.int64()), "text": pa.array(texts + texts), "g": pa.array([5] * 40, pa.int32())})
+    runs = op7_suffix.Runs(op7_suffix.ex.Group(group), 100)
+    at = op7_suffix.ex.cuts(runs.distinct, 3, op7_suffix.ex.FILTER_BITS)
+    all_twice = op7_suffix.ex.answers([(5, r, kind, op7_suffix.ex.bits_of(np.full(b - a, kind == 1))) for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) for kind in (1, 2)])
+    sent = op7_suffix._region_messages(3, 24, 100)(group, all_twice)
+    assert sent.num_rows == 3 and sent.column("r").to_pylist() == [0, 1, 2]
+    gone = [body for r in range(3) for body in op7_suffix._slice(100)(sent.slice(r, 1)).column("body").to_pylist()]
+    removed = op7_suffix._removed(op7_suffix.ex.Group(group), pa.table({"body": pa.array(gone, pa.binary())}))
+    assert removed == [[]] * 20 + [[(0, 3000)]] * 20
