@@ -2,6 +2,12 @@
 
 A kernel density is fitted on all points, which are sent to every task in blocks of BLOCK, and every row is scored
 by matrix products whose kernel sums add up over the blocks; Gaussian models are aggregates.
+
+In one and two dimensions the plane is cut into cells of SIDE bandwidths. The points of a cell with CROWD or more go
+into its moments: the kernel, as a function of the fitted point, is interpolated at ORDER Chebyshev nodes a side,
+which gives it to the last digits of a double, and the sum over the cell becomes a sum over nodes. So work grows with the
+points, not with their square. Points of emptier cells are summed one by one. Rows whose sum is so small that the
+moments' rounding could show are scored once more by all points.
 """
 
 from __future__ import annotations
@@ -20,29 +26,87 @@ from scenelake.functions import taxonomy as T
 BLOCK = 20_000
 BANDWIDTH_2D = 0.3
 EPSILON = 1e-6
+#: Bandwidths along a cell, nodes along it, points that make moments of a cell, and the least share of all points in a
+#: row's kernel sum (each counts 1 at its own place) that is taken from moments.
+SIDE, ORDER, CROWD, LEAST = 4.0, 32, 4096, 1e-5
 
 
-def kde(points: DataFrame, fit: DataFrame, bandwidth: float | None = None, block: int = BLOCK) -> DataFrame:
+def kde(points: DataFrame, fit: DataFrame, bandwidth: float | None = None, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """id, log_density of points (id, x) under a Gaussian kernel density on fit (id, x).
 
     Without a bandwidth it is n^(-1/(d+4)). Points with a null coordinate have no density; without points to fit on
     there is none either.
     """
-    rows = fit.where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull())).orderBy(F.xxhash64("id"), "id").select("x")
-    kind = points.schema["id"].dataType.simpleString()
-    shared, part, count, d = [], [], 0, 0
+    known = fit.where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+    count, d = known.agg(F.count("*"), F.max(F.size("x"))).first()
+    if not count:
+        return points.select("id", F.lit(None).cast("double").alias("log_density"))
+    h = bandwidth or count ** (-1 / (d + 4))
+    norm = math.log(count) + 0.5 * d * math.log(2 * math.pi * h * h)
+    if d > 2:
+        return _scored(points, _sent(known, block), {}, d, h, norm).select("id", "log_density")
+    cell = F.concat_ws(",", *[F.floor(F.col("x")[i].cast("double") / (SIDE * h)).cast("string") for i in range(d)])
+    named = known.select("id", "x", cell.alias("cell"))
+    full = named.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") >= crowd).select(F.col("cell").alias("cell_"))  # a cell for `crowd` points
+    moments = {}
+    for r in named.join(full, F.col("cell") == F.col("cell_")).mapInArrow(_moments(d, h), "cell string, moments binary").toLocalIterator():
+        place = tuple(int(v) for v in r.cell.split(","))
+        moments[place] = moments.get(place, 0) + np.frombuffer(r.moments, np.float64).reshape([ORDER] * d)
+    if not moments:
+        return _scored(points, _sent(known, block), {}, d, h, norm).select("id", "log_density")
+    emptier = named.join(full, F.col("cell") == F.col("cell_"), "left_anti")
+    out = _scored(points, _sent(emptier, block), moments, d, h, norm)
+    sure = F.col("log_density") >= math.log(LEAST * count) - norm
+    unsure = out.where(~sure).select("id", "x")
+    if unsure.isEmpty():
+        return out.select("id", "log_density")
+    return out.where(F.col("log_density").isNull() | sure).select("id", "log_density").union(_scored(unsure, _sent(known, block), {}, d, h, norm).select("id", "log_density"))
+
+
+def _sent(fit: DataFrame, block: int) -> list:
+    """The points in blocks that every task can read."""
+    rows, shared, part = fit.orderBy(F.xxhash64("id"), "id").select("x"), [], []
     for r in rows.toLocalIterator():
         part.append(r.x)
-        count, d = count + 1, len(r.x)
         if len(part) == block:
-            shared.append(points.sparkSession.sparkContext.broadcast(np.array(part, np.float64)))  # block x d numbers
+            shared.append(fit.sparkSession.sparkContext.broadcast(np.array(part, np.float64)))  # block x d numbers
             part = []
     if part:
-        shared.append(points.sparkSession.sparkContext.broadcast(np.array(part, np.float64)))
-    if not count:
-        return points.select("id", F.lit(None).cast("double").alias("log_density"))
-    h = bandwidth or count ** (-1 / (d + 4))
-    norm = math.log(count) + 0.5 * d * math.log(2 * math.pi * h * h)
+        shared.append(fit.sparkSession.sparkContext.broadcast(np.array(part, np.float64)))
+    return shared
+
+
+def _nodes() -> np.ndarray:
+    return np.cos((2 * np.arange(ORDER) + 1) * np.pi / (2 * ORDER))
+
+
+def _basis(u: np.ndarray) -> np.ndarray:
+    """The Lagrange polynomials of the nodes at places u of -1 to 1: the sum of Chebyshev polynomials that are 1 at a node and 0 at the others."""
+    k = np.arange(ORDER)
+    at_nodes = np.cos(np.outer(k, np.arccos(_nodes()))) * np.where(k > 0, 2.0, 1.0)[:, None] / ORDER
+    return np.cos(np.arccos(np.clip(u, -1, 1))[:, None] * k) @ at_nodes
+
+
+def _moments(d: int, h: float):
+    def add(batches):
+        found: dict[str, np.ndarray] = {}
+        for b in batches:
+            x = np.array(b.column("x").to_pylist(), np.float64).reshape(b.num_rows, d)
+            cells = np.array(b.column("cell").to_pylist(), object)
+            for c in set(cells):
+                u = [2 * (x[cells == c, i] / (SIDE * h) - int(v)) - 1 for i, v in enumerate(c.split(","))]
+                sides = [_basis(v) for v in u]
+                found[c] = found.get(c, 0) + (sides[0].sum(axis=0) if d == 1 else sides[0].T @ sides[1])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([m.tobytes() for m in found.values()], pa.binary())], names=["cell", "moments"])
+
+    return add
+
+
+def _scored(points: DataFrame, shared: list, moments: dict, d: int, h: float, norm: float) -> DataFrame:
+    """id, x, log_density: kernel sums over blocks of points and over the moments of cells."""
+    kind = points.schema["id"].dataType.simpleString()
+    cells = points.sparkSession.sparkContext.broadcast(sorted(moments.items()))
 
     def score(batches):
         for b in batches:
@@ -50,7 +114,12 @@ def kde(points: DataFrame, fit: DataFrame, bandwidth: float | None = None, block
             out: list = [None] * len(rows)
             known = [i for i, r in enumerate(rows) if r is not None and None not in r]
             m = np.array([rows[i] for i in known], np.float64).reshape(len(known), d)
-            logs = np.full(len(known), -np.inf)
+            total = np.zeros(len(known))
+            for place, moment in cells.value:
+                kernels = [np.exp(-((m[:, i, None] - SIDE * h * (c + (_nodes() + 1) / 2)) ** 2) / (2 * h * h)) for i, c in enumerate(place)]
+                total += kernels[0] @ moment if d == 1 else ((kernels[0] @ moment) * kernels[1]).sum(axis=1)
+            with np.errstate(divide="ignore"):
+                logs = np.log(np.maximum(total, 0))
             for fitted in (x.value for x in shared):
                 squares = (fitted**2).sum(axis=1)
                 for at in range(0, len(known), 256):
@@ -60,9 +129,10 @@ def kde(points: DataFrame, fit: DataFrame, bandwidth: float | None = None, block
                     logs[at : at + 256] = np.logaddexp(logs[at : at + 256], most[:, 0] + np.log(np.exp(e - most).sum(axis=1)))
             for i, v in zip(known, (logs - norm).tolist(), strict=True):
                 out[i] = v
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.float64())], names=["id", "log_density"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(out, pa.float64())], names=["id", "x", "log_density"])
 
-    return points.select("id", "x").mapInArrow(score, f"id {kind}, log_density double")
+    x = points.select("id", F.col("x").cast("array<double>").alias("x"))
+    return x.mapInArrow(score, f"id {kind}, x array<double>, log_density double")
 
 
 def long_tail(densities: DataFrame, share: float = 0.05, column: str = "density") -> DataFrame:
