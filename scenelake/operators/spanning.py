@@ -1,9 +1,15 @@
 """The minimum spanning tree of mutual reachability over all points, the ground of density clustering.
 
-Points are packed into blocks of about BLOCK; a task compares one block with FAN others, so no task, broadcast or
-driver holds all points and none is sampled. Work grows with the square of the points, as the method's does. Squares of
+Points of equal coordinates are one node with a count; each copy hangs on it by an edge of its core distance, the least
+that a copy can have. Space is cut into blocks of at most about BLOCK nodes, by the medians of some; every node is in one.
+A task compares one block with FAN others, so no task, broadcast or driver holds all points and none is left out.
+
+Inside a task blocks are cut on into boxes of LEAF nodes. A box is compared with others from the nearest on, and not with
+those farther than what its nodes have found: the k-th neighbour, or the least edge out of their part. A product of single
+precision, with a margin above its error, tells what may be near enough; that is measured in double precision. Squares of
 differences are added coordinate by coordinate, so that a distance is the same number from either end, and edges are
-ordered by (weight, lesser node, greater node): no two are equal and Boruvka's rounds make no cycle.
+ordered by (weight, lesser node, greater node): no two are equal and Boruvka's rounds make no cycle. What this saves depends
+on the points; in the worst case all pairs are compared.
 """
 
 from __future__ import annotations
@@ -20,8 +26,10 @@ from pyspark.sql import functions as F
 
 from scenelake.sources import tables
 
-#: Points of a block, blocks that one task compares a block with, and points of a block compared at a time.
-BLOCK, FAN, AT_ONCE = 16_384, 8, 256
+#: Nodes of a block at most, blocks that one task compares a block with, nodes of a box.
+BLOCK, FAN, LEAF = 65_536, 4, 128
+#: Blocks that there are at least, if they have LEAST nodes; nodes for each block by which space is cut.
+SPREAD, LEAST, DRAWN = 12, 4096, 64
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -38,37 +46,119 @@ def numbered(points: DataFrame) -> DataFrame:
     return _cut(ordered.withColumn("node", F.monotonically_increasing_id()))
 
 
+def _cuts(drawn: np.ndarray, most: int) -> tuple | None:
+    """(dimension, value, at most, above) by the median of the widest dimension, until no side has more than most."""
+    if len(drawn) <= most:
+        return None
+    at = int(np.ptp(drawn, axis=0).argmax())
+    values = np.sort(drawn[:, at])
+    if values[0] == values[-1]:
+        return None
+    value = values[(len(values) - 1) // 2]
+    if value == values[-1]:
+        value = values[np.searchsorted(values, value) - 1]
+    low = drawn[:, at] <= value
+    return at, float(value), _cuts(drawn[low], most), _cuts(drawn[~low], most)
+
+
+def _leaves(cuts: tuple | None) -> int:
+    return 1 if cuts is None else _leaves(cuts[2]) + _leaves(cuts[3])
+
+
+def _side(x: np.ndarray, cuts: tuple | None) -> np.ndarray:
+    """The number of the leaf that each point falls to."""
+    if cuts is None:
+        return np.zeros(len(x), np.int32)
+    low, out = x[:, cuts[0]] <= cuts[1], np.zeros(len(x), np.int32)
+    out[low], out[~low] = _side(x[low], cuts[2]), _leaves(cuts[2]) + _side(x[~low], cuts[3])
+    return out
+
+
+def _boxed(x: np.ndarray) -> np.ndarray:
+    """An order in which each LEAF points are a box of a k-d tree."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= LEAF:
+            out.append(own)
+            continue
+        half = (math.ceil(len(own) / LEAF) + 1) // 2 * LEAF
+        own = own[np.argpartition(x[own, int(np.ptp(x[own], axis=0).argmax())], half - 1)]
+        todo += [own[half:], own[:half]]
+    return np.concatenate(out)
+
+
+def _placed(points: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """node, x, times, block, pos: space is cut into that many blocks, whose nodes are in the order of boxes."""
+    m = points.count()
+    drawn = points.orderBy(F.xxhash64("node"), "node").limit(DRAWN * max(SPREAD, math.ceil(m / block))).select("x").toPandas()
+    size = min(block, max(LEAST, math.ceil(m / SPREAD)))
+    cuts = _cuts(np.array(drawn["x"].tolist(), np.float64), max(1, len(drawn) * size // m))
+
+    def side(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(block=_side(np.array(pdf["x"].tolist(), np.float64), cuts))
+
+    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        pos = np.empty(len(pdf), np.int32)
+        pos[_boxed(np.array(pdf["x"].tolist(), np.float64))] = np.arange(len(pdf), dtype=np.int32)
+        return pdf.assign(pos=pos)
+
+    schema = "node long, x array<double>, times long, block int"
+    return points.select("node", "x", "times").mapInPandas(side, schema).groupBy("block").applyInPandas(order, f"{schema}, pos int"), _leaves(cuts)
+
+
+_KINDS = {"node": np.int64, "times": np.int64, "core": np.float64, "part": np.int64}
+
+
 def _packed(rows: DataFrame) -> DataFrame:
-    """One row a block: nodes in order, coordinates, core distances and parts as bytes."""
+    """One row a block: nodes in the order of boxes, coordinates, copies, core distances and parts as bytes."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
+        pdf = pdf.sort_values("pos")
         x = np.array(pdf["x"].tolist(), np.float64)
-        as_bytes = lambda c, kind: pdf[c].to_numpy(kind).tobytes()
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "node": [as_bytes("node", np.int64)], "x": [x.tobytes()], "core": [as_bytes("core", np.float64)], "part": [as_bytes("part", np.int64)]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "x": [x.tobytes()]} | {c: [pdf[c].to_numpy(kind).tobytes()] for c, kind in _KINDS.items()})
 
-    return rows.groupBy("block").applyInPandas(pack, "block int, node binary, x binary, core binary, part binary")
+    return rows.groupBy("block").applyInPandas(pack, "block int, x binary, node binary, times binary, core binary, part binary")
 
 
 def _compared(blocks: DataFrame, count: int, fan: int, work, schema: str) -> DataFrame:
-    """work(own block, its others) for every block and every fan of blocks."""
-    columns = ["node", "x", "core", "part"]
+    """work(own block, its others, whether it is one of them) for every block and every fan of blocks."""
+    columns = ["x", *_KINDS]
     own = blocks.select(F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit((count - 1) // fan))).alias("g"), F.lit(-1).alias("j"), *columns)
     others = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("i"), F.floor(F.col("block") / fan).cast("int").alias("g"), F.col("block").alias("j"), *columns)
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf["j"] < 0]
-        others = pdf[pdf["j"] >= 0]
-        if own.empty or others.empty:  # a block number that no point fell to
+        others = pdf[(pdf["j"] >= 0) & (pdf["j"] != pdf["i"])]
+        if own.empty:  # a block number that no point fell to
             return pd.DataFrame()
-        return work(_unpacked(own.iloc[0]), (_unpacked(r) for _, r in others.iterrows()))
+        return work(_Boxes(own), _Boxes(others) if len(others) else None, bool((pdf["j"] == pdf["i"]).any()))
+
+    spread = min(4096, 2 * count * math.ceil(count / fan))  # named, so that tasks of little data but much work are not joined
+    return own.unionByName(others).repartition(spread, "i", "g").groupBy("i", "g").applyInPandas(task, schema)
+
 
-    return own.unionByName(others).groupBy("i", "g").applyInPandas(task, schema)
+class _Boxes:
+    """Blocks one after the other, and the bounds of their boxes."""
 
+    def __init__(self, rows: pd.DataFrame):
+        self.i = rows["i"].iloc[0]
+        for c, kind in _KINDS.items():
+            setattr(self, c, np.concatenate([np.frombuffer(v, kind) for v in rows[c]]))
+        sizes = [len(v) // 8 for v in rows["node"]]
+        self.x = np.concatenate([np.frombuffer(v, np.float64).reshape(n, -1) for v, n in zip(rows["x"], sizes, strict=True)])
+        self.start = np.concatenate([np.arange(0, n, LEAF) + at for n, at in zip(sizes, np.cumsum([0, *sizes]), strict=False)])
+        self.end = np.append(self.start[1:], len(self.x))
+        self.low, self.high = np.minimum.reduceat(self.x, self.start), np.maximum.reduceat(self.x, self.start)
+        self.core_low = np.minimum.reduceat(self.core, self.start)
+        self.part_low, self.part_high = np.minimum.reduceat(self.part, self.start), np.maximum.reduceat(self.part, self.start)
 
-def _unpacked(row) -> dict:
-    node = np.frombuffer(row["node"], np.int64)
-    return {"i": row["i"], "node": node, "x": np.frombuffer(row["x"], np.float64).reshape(len(node), -1), "core": np.frombuffer(row["core"], np.float64), "part": np.frombuffer(row["part"], np.int64)}
+    def gaps(self, x: np.ndarray) -> np.ndarray:
+        """No point of a box is nearer to any of x, but for the last digits."""
+        return np.sqrt((np.maximum(0, np.maximum(self.low - x.max(axis=0), x.min(axis=0) - self.high)) ** 2).sum(axis=1))
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -79,16 +169,76 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
-def _cores(blocks: DataFrame, count: int, fan: int, k: int) -> DataFrame:
-    """node, core: the distance of a point to its k-th nearest, itself the nearest."""
+def _within(a: np.ndarray, b: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, c, d: what is at most limit[r] apart; where that is infinite, the k nearest at least (all for k = 0)."""
+    middle = a.mean(axis=0)
+    p, q = a - middle, b - middle
+    pp, qq = (p * p).sum(axis=1), (q * q).sum(axis=1)
+    scale = pp.max() + qq.max()
+    kind, unit = (np.float32, 2.0**-22) if 1e-25 < scale < 1e25 else (np.float64, 2.0**-50)
+    margin = (a.shape[1] + 4) * unit * scale
+    near = np.hstack([-2 * p, pp[:, None], np.ones((len(p), 1))]).astype(kind) @ np.hstack([q, np.ones((len(q), 1)), qq[:, None]]).astype(kind).T
+    bound = np.maximum(limit, 0) ** 2
+    if k and len(b) > k and not np.isfinite(bound).all():
+        far = ~np.isfinite(bound)
+        bound[far] = np.partition(near[far], k - 1, axis=1)[:, k - 1] + margin
+    found = np.flatnonzero(~(near > (bound + margin).astype(kind)[:, None]))
+    r, c = found // len(b), found % len(b)
+    d = np.zeros(len(r))
+    for u, v in zip(a.T, b.T, strict=True):
+        d += (u[r] - v[c]) ** 2
+    d = np.sqrt(d)
+    close = d <= limit[r]
+    return r[close], c[close], d[close]
+
+
+def _sweep(x: np.ndarray, limit: np.ndarray, other: _Boxes, gap: np.ndarray, k: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """r, c, d of x and the other's points, nearest boxes first, within limit, which the caller lowers between the steps."""
+    order = np.argsort(gap, kind="stable")
+    order = order[: np.searchsorted(gap[order], np.inf)]
+    at = 0
+    while at < len(order):
+        end = at + (64 if np.isfinite(limit).all() else 8)
+        end = min(end, int(np.searchsorted(gap[order], limit.max() * (1 + 1e-9), "right")))
+        if end <= at:
+            return
+        columns = np.concatenate([np.arange(other.start[b], other.end[b]) for b in order[at:end]])
+        r, c, d = _within(x, other.x[columns], limit, k)
+        yield r, columns[c], d
+        at = end
+
+
+def _least(best: np.ndarray, r: np.ndarray, d: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The least of each row of best and of the distances d that it was given, counted so many times."""
+    k = best.shape[1]
+    order = np.lexsort((d, r))
+    r, d, times = r[order], d[order], np.minimum(times[order], k)
+    r, d = np.repeat(r, times), np.repeat(d, times)
+    rank = np.arange(len(r)) - np.searchsorted(r, r)
+    more = np.full(best.shape, np.inf)
+    more[r[rank < k], rank[rank < k]] = d[rank < k]
+    return np.sort(np.concatenate([best, more], axis=1), axis=1)[:, :k]
+
 
-    def near(own: dict, others: Iterator[dict]) -> pd.DataFrame:
-        best = np.full((len(own["node"]), k), np.inf)
-        for other in others:
-            for at in range(0, len(best), AT_ONCE):
-                d = np.concatenate([best[at : at + AT_ONCE], distances(own["x"][at : at + AT_ONCE], other["x"])], axis=1)
-                best[at : at + AT_ONCE] = np.partition(d, k - 1, axis=1)[:, :k]
-        return pd.DataFrame({"i": [own["i"]], "node": [own["node"].tobytes()], "near": [best.tobytes()]})
+def _cores(blocks: DataFrame, count: int, fan: int, k: int) -> DataFrame:
+    """node, core: the distance of a point to its k-th nearest, itself the nearest and copies counted."""
+
+    def near(own: _Boxes, others: _Boxes | None, inside: bool) -> pd.DataFrame:
+        out = []
+        for start, end in zip(own.start, own.end, strict=True):
+            x = own.x[start:end]
+            here = np.full((len(x), k), np.inf)
+            limit = np.full(len(x), np.inf)
+            for r, c, d in _sweep(x, limit, own, own.gaps(x), k):
+                here = _least(here, r, d, own.times[c])
+                limit[:] = here[:, -1]
+            there = np.full((len(x), k), np.inf)
+            if others is not None:
+                for r, c, d in _sweep(x, limit, others, others.gaps(x), k):
+                    there = _least(there, r, d, others.times[c])
+                    limit[:] = np.sort(np.concatenate([here, there], axis=1), axis=1)[:, k - 1]
+            out.append(np.sort(np.concatenate([here, there], axis=1), axis=1)[:, :k] if inside else there)
+        return pd.DataFrame({"i": [own.i], "node": [own.node.tobytes()], "near": [np.concatenate(out).tobytes()]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         best = np.concatenate([np.frombuffer(b, np.float64).reshape(-1, k) for b in pdf["near"]], axis=1)
@@ -97,19 +247,35 @@ def _cores(blocks: DataFrame, count: int, fan: int, k: int) -> DataFrame:
     return _compared(blocks, count, fan, near, "i int, node binary, near binary").groupBy("i").applyInPandas(merge, "node long, core double")
 
 
-def _outward(own: dict, others: Iterator[dict]) -> pd.DataFrame:
-    """For each part with points in the block the least edge to another part."""
-    found = []
-    for other in others:
-        for at in range(0, len(own["node"]), AT_ONCE):
-            s = slice(at, at + AT_ONCE)
-            reach = np.maximum(distances(own["x"][s], other["x"]), np.maximum(own["core"][s, None], other["core"]))
-            reach[own["part"][s, None] == other["part"]] = np.inf
-            j = reach.argmin(axis=1)  # the first of equals: nodes of a block are in order
-            w, a, b = reach[np.arange(len(j)), j], own["node"][s], other["node"][j]
-            found.append(pd.DataFrame({"part": own["part"][s], "w": w, "lo": np.minimum(a, b), "hi": np.maximum(a, b), "to": other["part"][j]})[np.isfinite(w)])
-        found = [pd.concat(found).sort_values(["w", "lo", "hi"]).drop_duplicates("part")]
-    return found[0]
+def _outward(own: _Boxes, others: _Boxes | None, inside: bool) -> pd.DataFrame:
+    """For each part with points in the block the least edge to another part, of those that others hold or, if nearer, the block itself."""
+    parts, of = np.unique(own.part, return_inverse=True)
+    w, lo, hi, to = np.full(len(parts), np.inf), *(np.zeros(len(parts), np.int64) for _ in range(3))
+    for other in [own] if others is None else [own, others]:
+        for start, end in zip(own.start, own.end, strict=True):
+            rows = np.arange(start, end)[own.core[start:end] <= w[of[start:end]]]
+            if not len(rows):
+                continue
+            x, part = own.x[rows], own.part[rows]
+            gap = np.maximum(other.gaps(x), other.core_low)
+            gap[(other.part_low == part.min()) & (other.part_high == part.max()) & (part.min() == part.max())] = np.inf
+            limit = w[of[rows]]
+            for r, c, d in _sweep(x, limit, other, gap):
+                apart = np.flatnonzero(part[r] != other.part[c])
+                r, c = r[apart], c[apart]
+                reach = np.maximum(d[apart], np.maximum(own.core[rows[r]], other.core[c]))
+                good = np.flatnonzero(reach <= limit[r])
+                r, c, reach = r[good], c[good], reach[good]
+                p, a, b = of[rows[r]], own.node[rows[r]], other.node[c]
+                low, high = np.minimum(a, b), np.maximum(a, b)
+                order = np.lexsort((high, low, reach, p))
+                order = order[np.flatnonzero(np.diff(p[order], prepend=-1))]
+                p, reach, low, high, c = p[order], reach[order], low[order], high[order], c[order]
+                better = (reach < w[p]) | ((reach == w[p]) & ((low < lo[p]) | ((low == lo[p]) & (high < hi[p]))))
+                p = p[better]
+                w[p], lo[p], hi[p], to[p] = reach[better], low[better], high[better], other.part[c[better]]
+                limit[:] = np.where(own.core[rows] <= w[of[rows]], w[of[rows]], -1)
+    return pd.DataFrame({"part": parts, "w": w, "lo": lo, "hi": hi, "to": to})[np.isfinite(w)]
 
 
 def _merged(chosen: DataFrame) -> DataFrame:
@@ -131,19 +297,20 @@ def spanning_tree(nodes: DataFrame, min_samples: int = 10, block: int = BLOCK, f
     n = nodes.count()
     if n < 2:
         return empty
-    count = math.ceil(n / block)
-    place = F.pmod(F.xxhash64("node"), F.lit(count)).cast("int").alias("block")
-    rows = nodes.select("node", "x", place, F.lit(0.0).alias("core"), F.col("node").alias("part"))
+    places = nodes.groupBy("x").agg(F.min("node").alias("node"), F.count("*").alias("times"))
+    placed, count = _placed(_cut(places), block)
+    rows = _cut(placed.withColumn("core", F.lit(0.0)).withColumn("part", F.col("node")))
+    columns = ["node", "x", "times", "block", "pos"]
     cores = _cores(_packed(rows), count, fan, min(min_samples, n - 1) + 1).select(F.col("node").alias("at"), F.col("core").alias("found"))
-    rows = _cut(rows.join(cores, F.col("node") == F.col("at")).select("node", "x", "block", F.col("found").alias("core"), "part"))
-    tree = [empty]
-    while True:
+    rows = _cut(rows.join(cores, F.col("node") == F.col("at")).select(*columns, F.col("found").alias("core"), "part"))
+    first = rows.where("times > 1").select(F.col("x").alias("x_"), F.col("node").alias("lo"), F.col("core").alias("w"))
+    copies = nodes.join(first, (F.col("x") == F.col("x_")) & (F.col("node") != F.col("lo"))).select("w", "lo", F.col("node").alias("hi"))
+    tree = [empty, copies]
+    while rows.select("part").distinct().count() > 1:
         edges = _compared(_packed(rows), count, fan, _outward, "part long, w double, lo long, hi long, to long")
         least = edges.groupBy("part").agg(F.min(F.struct("w", "lo", "hi", "to")).alias("e"))
         chosen = _cut(least.select("part", "e.w", "e.lo", "e.hi", "e.to"))
         tree.append(chosen.select("w", "lo", "hi").distinct())
-        parents = _merged(chosen)
-        if parents.select("parent").distinct().count() == 1:
-            return functools.reduce(DataFrame.unionByName, tree)
-        up = parents.select(F.col("part").alias("at"), "parent")
-        rows = _cut(rows.join(up, F.col("part") == F.col("at")).select("node", "x", "block", "core", F.col("parent").alias("part")))
+        up = _merged(chosen).select(F.col("part").alias("at"), "parent")
+        rows = _cut(rows.join(up, F.col("part") == F.col("at")).select(*columns, "core", F.col("parent").alias("part")))
+    return functools.reduce(DataFrame.unionByName, tree)

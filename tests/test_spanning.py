@@ -1,6 +1,7 @@
 """Density clustering over all points, in blocks, against points in memory."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from scenelake.operators import cluster, spanning
@@ -56,6 +57,23 @@ def test_small_clusters_among_many_points(spark):
         assert name >= 0
 
 
+def test_far_boxes_are_not_compared(monkeypatch):
+    """Of points in many places only boxes near each other are compared, and the least edges out are those of all pairs."""
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(r.uniform(-50, 50, 3), 0.3, (250, 3)) for _ in range(24)])
+    x, part = x[spanning._boxed(x)], r.integers(0, 40, 6000)
+    d = spanning.distances(x, x)
+    core = np.sort(d, axis=1)[:, 5]
+    row = {"i": 0} | {c: np.asarray(v).tobytes() for c, v in {"x": x, "node": np.arange(6000), "times": np.ones(6000, np.int64), "core": core, "part": part}.items()}
+    compared, within = [], spanning._within
+    monkeypatch.setattr(spanning, "_within", lambda a, b, *more: compared.append(len(a) * len(b)) or within(a, b, *more))
+    boxes = spanning._Boxes(pd.DataFrame([row]))
+    found = spanning._outward(boxes, None, True)
+    reach = np.where(part[:, None] == part, np.inf, np.maximum(d, np.maximum(core[:, None], core)))
+    assert found["w"].tolist() == [reach[part == p].min() for p in range(40)]
+    assert sum(compared) < 0.1 * 6000**2
+
+
 def test_points_without_place(spark):
     rows = spark.createDataFrame([(1, None), (2, [0.0, None]), (3, [0.0, 1.0]), (3, [0.0, 1.0])], "id long, x array<double>")
     assert sorted(tuple(r) for r in cluster.density_clusters(rows, 5, 2).collect()) == [(1, -1), (2, -1), (3, -1), (3, -1)]
