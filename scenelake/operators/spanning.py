@@ -8,8 +8,13 @@ Inside a task blocks are cut on into boxes of LEAF nodes. A box is compared with
 those farther than what its nodes have found: the k-th neighbour, or the least edge out of their part. A product of single
 precision, with a margin above its error, tells what may be near enough; that is measured in double precision. Squares of
 differences are added coordinate by coordinate, so that a distance is the same number from either end, and edges are
-ordered by (weight, lesser node, greater node): no two are equal and Boruvka's rounds make no cycle. What this saves depends
+ordered by (weight, lesser node, greater node): no two are equal and Boruvka's rounds make no cycle. What boxes save depends
 on the points; in the worst case all pairs are compared.
+
+That is once, for the core distances. The same pass lists the NEAREST nodes of each. An edge that is in no list is longer than
+its nodes' lists reach, so a part whose least listed edge is shorter than that for all its nodes has its least edge. In each
+round only nodes that leave it open are compared with all others; the largest part waits if another has an edge, as any
+parts' least edges belong to the tree.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from scenelake.sources import tables
 
 #: Nodes of a block at most, blocks that one task compares a block with, nodes of a box.
 BLOCK, FAN, LEAF = 65_536, 4, 128
+#: Nodes that are listed as the nearest of each, itself among them.
+NEAREST = 16
 #: Blocks that there are at least, if they have LEAST nodes; nodes for each block by which space is cut.
 SPREAD, LEAST, DRAWN = 12, 4096, 64
 
@@ -110,7 +117,7 @@ def _placed(points: DataFrame, block: int) -> tuple[DataFrame, int]:
     return points.select("node", "x", "times").mapInPandas(side, schema).groupBy("block").applyInPandas(order, f"{schema}, pos int"), _leaves(cuts)
 
 
-_KINDS = {"node": np.int64, "times": np.int64, "core": np.float64, "part": np.int64}
+_KINDS = {"node": np.int64, "times": np.int64, "core": np.float64, "part": np.int64, "bound": np.float64}
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -121,23 +128,22 @@ def _packed(rows: DataFrame) -> DataFrame:
         x = np.array(pdf["x"].tolist(), np.float64)
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "x": [x.tobytes()]} | {c: [pdf[c].to_numpy(kind).tobytes()] for c, kind in _KINDS.items()})
 
-    return rows.groupBy("block").applyInPandas(pack, "block int, x binary, node binary, times binary, core binary, part binary")
+    return rows.groupBy("block").applyInPandas(pack, "block int, x binary, node binary, times binary, core binary, part binary, bound binary")
 
 
-def _compared(blocks: DataFrame, count: int, fan: int, work, schema: str) -> DataFrame:
-    """work(own block, its others, whether it is one of them) for every block and every fan of blocks."""
+def _compared(mine: DataFrame, heads: int, blocks: DataFrame, count: int, fan: int, work, schema: str) -> DataFrame:
+    """work(own block, rows of others) for each of mine, of which there are heads, and every fan of blocks."""
     columns = ["x", *_KINDS]
-    own = blocks.select(F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit((count - 1) // fan))).alias("g"), F.lit(-1).alias("j"), *columns)
-    others = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("i"), F.floor(F.col("block") / fan).cast("int").alias("g"), F.col("block").alias("j"), *columns)
+    own = mine.select(F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit((count - 1) // fan))).alias("g"), F.lit(-1).alias("j"), *columns)
+    others = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(heads - 1))).alias("i"), F.floor(F.col("block") / fan).cast("int").alias("g"), F.col("block").alias("j"), *columns)
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["j"] < 0]
-        others = pdf[(pdf["j"] >= 0) & (pdf["j"] != pdf["i"])]
-        if own.empty:  # a block number that no point fell to
+        own, others = pdf[pdf["j"] < 0], pdf[pdf["j"] >= 0]
+        if own.empty or others.empty:  # a block number that no point fell to
             return pd.DataFrame()
-        return work(_Boxes(own), _Boxes(others) if len(others) else None, bool((pdf["j"] == pdf["i"]).any()))
+        return work(_Boxes(own), others)
 
-    spread = min(4096, 2 * count * math.ceil(count / fan))  # named, so that tasks of little data but much work are not joined
+    spread = min(4096, 2 * heads * math.ceil(count / fan))  # named, so that tasks of little data but much work are not joined
     return own.unionByName(others).repartition(spread, "i", "g").groupBy("i", "g").applyInPandas(task, schema)
 
 
@@ -208,81 +214,99 @@ def _sweep(x: np.ndarray, limit: np.ndarray, other: _Boxes, gap: np.ndarray, k:
         at = end
 
 
-def _least(best: np.ndarray, r: np.ndarray, d: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """The least of each row of best and of the distances d that it was given, counted so many times."""
+def _least(best: np.ndarray, of: np.ndarray, r: np.ndarray, d: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least of each row of best and of the distances d that it was given, and to what they lead."""
     k = best.shape[1]
-    order = np.lexsort((d, r))
-    r, d, times = r[order], d[order], np.minimum(times[order], k)
-    r, d = np.repeat(r, times), np.repeat(d, times)
+    order = np.lexsort((c, d, r))
+    r, d, c = r[order], d[order], c[order]
     rank = np.arange(len(r)) - np.searchsorted(r, r)
-    more = np.full(best.shape, np.inf)
-    more[r[rank < k], rank[rank < k]] = d[rank < k]
-    return np.sort(np.concatenate([best, more], axis=1), axis=1)[:, :k]
+    more, to = np.full(best.shape, np.inf), np.full(best.shape, -1)
+    more[r[rank < k], rank[rank < k]], to[r[rank < k], rank[rank < k]] = d[rank < k], c[rank < k]
+    return _first(np.concatenate([best, more], axis=1), np.concatenate([of, to], axis=1), k)
+
 
+def _first(d: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(d, order, axis=1), np.take_along_axis(of, order, axis=1)
 
-def _cores(blocks: DataFrame, count: int, fan: int, k: int) -> DataFrame:
-    """node, core: the distance of a point to its k-th nearest, itself the nearest and copies counted."""
 
-    def near(own: _Boxes, others: _Boxes | None, inside: bool) -> pd.DataFrame:
+def _nearest(blocks: DataFrame, count: int, fan: int, k: int, listed: int) -> DataFrame:
+    """node, core, floor, near: the distance to its k-th nearest, itself the nearest and copies counted; the distance of the last listed; the listed nodes, each with its distance."""
+
+    def near(own: _Boxes, rows: pd.DataFrame) -> pd.DataFrame:
+        inside, rows = bool((rows["j"] == own.i).any()), rows[rows["j"] != own.i]
+        others = _Boxes(rows) if len(rows) else None
         out = []
         for start, end in zip(own.start, own.end, strict=True):
             x = own.x[start:end]
-            here = np.full((len(x), k), np.inf)
-            limit = np.full(len(x), np.inf)
-            for r, c, d in _sweep(x, limit, own, own.gaps(x), k):
-                here = _least(here, r, d, own.times[c])
-                limit[:] = here[:, -1]
-            there = np.full((len(x), k), np.inf)
+            none = np.full((len(x), listed), np.inf), np.full((len(x), listed), -1)
+            here, there, limit = none, none, np.full(len(x), np.inf)
+            for r, c, d in _sweep(x, limit, own, own.gaps(x), listed):
+                here = _least(*here, r, d, c)
+                limit[:] = here[0][:, -1]
             if others is not None:
-                for r, c, d in _sweep(x, limit, others, others.gaps(x), k):
-                    there = _least(there, r, d, others.times[c])
-                    limit[:] = np.sort(np.concatenate([here, there], axis=1), axis=1)[:, k - 1]
-            out.append(np.sort(np.concatenate([here, there], axis=1), axis=1)[:, :k] if inside else there)
-        return pd.DataFrame({"i": [own.i], "node": [own.node.tobytes()], "near": [np.concatenate(out).tobytes()]})
+                for r, c, d in _sweep(x, limit, others, others.gaps(x), listed):
+                    there = _least(*there, r, d, c)
+                    limit[:] = np.sort(np.concatenate([here[0], there[0]], axis=1), axis=1)[:, listed - 1]
+            found = [(d, np.where(of < 0, -1, b.node[of]), np.where(of < 0, 0, b.times[of])) for b, (d, of) in ((own, here), (others, there)) if b is not None and (b is others or inside)]
+            out.append([np.concatenate(v, axis=1) for v in zip(*found, strict=True)] if found else [none[0], none[1], none[1]])
+        width = max(v[0].shape[1] for v in out)
+        parts = [np.concatenate([v[c] for v in out]).tobytes() for c in range(3)]
+        return pd.DataFrame({"i": [own.i], "node": [own.node.tobytes()], "width": [width], "d": [parts[0]], "to": [parts[1]], "times": [parts[2]]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = np.concatenate([np.frombuffer(b, np.float64).reshape(-1, k) for b in pdf["near"]], axis=1)
-        return pd.DataFrame({"node": np.frombuffer(pdf["node"].iloc[0], np.int64), "core": np.sort(best, axis=1)[:, k - 1]})
-
-    return _compared(blocks, count, fan, near, "i int, node binary, near binary").groupBy("i").applyInPandas(merge, "node long, core double")
-
-
-def _outward(own: _Boxes, others: _Boxes | None, inside: bool) -> pd.DataFrame:
-    """For each part with points in the block the least edge to another part, of those that others hold or, if nearer, the block itself."""
+        read = lambda c, kind: np.concatenate([np.frombuffer(b, kind).reshape(-1, w) for b, w in zip(pdf[c], pdf["width"], strict=True)], axis=1)
+        d, to, times = read("d", np.float64), read("to", np.int64), read("times", np.int64)
+        order = np.argsort(d, axis=1, kind="stable")[:, :listed]
+        d, to, times = (np.take_along_axis(v, order, axis=1) for v in (d, to, times))
+        core = np.take_along_axis(d, (np.cumsum(times, axis=1) >= k).argmax(axis=1)[:, None], axis=1)[:, 0]
+        node = np.frombuffer(pdf["node"].iloc[0], np.int64)
+        real = (to >= 0) & (to != node[:, None])
+        near = [[{"to": b, "d": a} for a, b in zip(u[v].tolist(), t[v].tolist(), strict=True)] for u, t, v in zip(d, to, real, strict=True)]
+        return pd.DataFrame({"node": node, "core": core, "floor": np.maximum(core, d[:, -1]), "near": near})
+
+    found = _compared(blocks, count, blocks, count, fan, near, "i int, node binary, width int, d binary, to binary, times binary")
+    return found.groupBy("i").applyInPandas(merge, "node long, core double, floor double, near array<struct<to:long,d:double>>")
+
+
+def _outward(own: _Boxes, other: _Boxes) -> pd.DataFrame:
+    """For each part with open nodes in the block the least edge to another part, if these others hold one."""
     parts, of = np.unique(own.part, return_inverse=True)
     w, lo, hi, to = np.full(len(parts), np.inf), *(np.zeros(len(parts), np.int64) for _ in range(3))
-    for other in [own] if others is None else [own, others]:
-        for start, end in zip(own.start, own.end, strict=True):
-            rows = np.arange(start, end)[own.core[start:end] <= w[of[start:end]]]
-            if not len(rows):
-                continue
-            x, part = own.x[rows], own.part[rows]
-            gap = np.maximum(other.gaps(x), other.core_low)
-            gap[(other.part_low == part.min()) & (other.part_high == part.max()) & (part.min() == part.max())] = np.inf
-            limit = w[of[rows]]
-            for r, c, d in _sweep(x, limit, other, gap):
-                apart = np.flatnonzero(part[r] != other.part[c])
-                r, c = r[apart], c[apart]
-                reach = np.maximum(d[apart], np.maximum(own.core[rows[r]], other.core[c]))
-                good = np.flatnonzero(reach <= limit[r])
-                r, c, reach = r[good], c[good], reach[good]
-                p, a, b = of[rows[r]], own.node[rows[r]], other.node[c]
-                low, high = np.minimum(a, b), np.maximum(a, b)
-                order = np.lexsort((high, low, reach, p))
-                order = order[np.flatnonzero(np.diff(p[order], prepend=-1))]
-                p, reach, low, high, c = p[order], reach[order], low[order], high[order], c[order]
-                better = (reach < w[p]) | ((reach == w[p]) & ((low < lo[p]) | ((low == lo[p]) & (high < hi[p]))))
-                p = p[better]
-                w[p], lo[p], hi[p], to[p] = reach[better], low[better], high[better], other.part[c[better]]
-                limit[:] = np.where(own.core[rows] <= w[of[rows]], w[of[rows]], -1)
-    return pd.DataFrame({"part": parts, "w": w, "lo": lo, "hi": hi, "to": to})[np.isfinite(w)]
+    np.minimum.at(w, of, own.bound)  # the least listed: what is longer is not wanted
+    lo[:] = np.iinfo(np.int64).max
+    for start, end in zip(own.start, own.end, strict=True):
+        rows = np.arange(start, end)[own.core[start:end] <= w[of[start:end]]]
+        if not len(rows):
+            continue
+        x, part = own.x[rows], own.part[rows]
+        gap = np.maximum(other.gaps(x), other.core_low)
+        gap[(other.part_low == part.min()) & (other.part_high == part.max()) & (part.min() == part.max())] = np.inf
+        limit = w[of[rows]]
+        for r, c, d in _sweep(x, limit, other, gap):
+            apart = np.flatnonzero(part[r] != other.part[c])
+            r, c = r[apart], c[apart]
+            reach = np.maximum(d[apart], np.maximum(own.core[rows[r]], other.core[c]))
+            good = np.flatnonzero(reach <= limit[r])
+            r, c, reach = r[good], c[good], reach[good]
+            p, a, b = of[rows[r]], own.node[rows[r]], other.node[c]
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((high, low, reach, p))
+            order = order[np.flatnonzero(np.diff(p[order], prepend=-1))]
+            p, reach, low, high, c = p[order], reach[order], low[order], high[order], c[order]
+            better = (reach < w[p]) | ((reach == w[p]) & ((low < lo[p]) | ((low == lo[p]) & (high < hi[p]))))
+            p = p[better]
+            w[p], lo[p], hi[p], to[p] = reach[better], low[better], high[better], other.part[c[better]]
+            limit[:] = np.where(own.core[rows] <= w[of[rows]], w[of[rows]], -1)
+    return pd.DataFrame({"part": parts, "w": w, "lo": lo, "hi": hi, "to": to})[lo < np.iinfo(np.int64).max]
 
 
 def _merged(chosen: DataFrame) -> DataFrame:
-    """part, parent: parts that chosen edges connect share a parent. Of two that chose each other the lesser is the root."""
+    """part, parent: parts that chosen edges connect share a parent. Of two that chose each other the lesser is the root; one that only was chosen is its own."""
     back = chosen.select(F.col("part").alias("at"), F.col("to").alias("next"))
     root = (F.col("next") == F.col("part")) & (F.col("part") < F.col("to"))
-    parents = _cut(chosen.join(back, F.col("to") == F.col("at")).select("part", F.when(root, F.col("part")).otherwise(F.col("to")).alias("parent")))
+    waiting = chosen.select(F.col("to").alias("part")).distinct().join(chosen.select("part"), "part", "left_anti").select("part", F.col("part").alias("parent"))
+    parents = _cut(waiting.union(chosen.join(back, F.col("to") == F.col("at"), "left").select("part", F.when(root, F.col("part")).otherwise(F.col("to")).alias("parent"))))
     while True:  # each round halves the way to the root
         up = parents.select(F.col("part").alias("at"), F.col("parent").alias("above"))
         jumped = _cut(parents.join(up, F.col("parent") == F.col("at")).select("part", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")))
@@ -299,18 +323,44 @@ def spanning_tree(nodes: DataFrame, min_samples: int = 10, block: int = BLOCK, f
         return empty
     places = nodes.groupBy("x").agg(F.min("node").alias("node"), F.count("*").alias("times"))
     placed, count = _placed(_cut(places), block)
-    rows = _cut(placed.withColumn("core", F.lit(0.0)).withColumn("part", F.col("node")))
-    columns = ["node", "x", "times", "block", "pos"]
-    cores = _cores(_packed(rows), count, fan, min(min_samples, n - 1) + 1).select(F.col("node").alias("at"), F.col("core").alias("found"))
-    rows = _cut(rows.join(cores, F.col("node") == F.col("at")).select(*columns, F.col("found").alias("core"), "part"))
+    rows = _cut(placed.withColumn("core", F.lit(0.0)).withColumn("part", F.col("node")).withColumn("bound", F.lit(0.0)))
+    k = min(min_samples, n - 1) + 1
+    found = _cut(_nearest(_packed(rows), count, fan, k, max(k, NEAREST))).withColumnRenamed("node", "at")
+    rows = _cut(rows.drop("core").join(found.select("at", "core", "floor"), F.col("node") == F.col("at")).select("node", "x", "times", "block", "pos", "core", "floor", "part"))
+    reach = lambda c: rows.select(F.col("node").alias(c), F.col("core").alias(f"{c}_core"))
+    pairs = found.select(F.col("at").alias("a"), F.explode("near").alias("e")).select("a", F.col("e.to").alias("b"), "e.d")
+    listed = _cut(pairs.join(reach("a"), "a").join(reach("b"), "b").select("a", "b", F.greatest("d", "a_core", "b_core").alias("w")))
     first = rows.where("times > 1").select(F.col("x").alias("x_"), F.col("node").alias("lo"), F.col("core").alias("w"))
     copies = nodes.join(first, (F.col("x") == F.col("x_")) & (F.col("node") != F.col("lo"))).select("w", "lo", F.col("node").alias("hi"))
     tree = [empty, copies]
-    while rows.select("part").distinct().count() > 1:
-        edges = _compared(_packed(rows), count, fan, _outward, "part long, w double, lo long, hi long, to long")
-        least = edges.groupBy("part").agg(F.min(F.struct("w", "lo", "hi", "to")).alias("e"))
-        chosen = _cut(least.select("part", "e.w", "e.lo", "e.hi", "e.to"))
+    while True:
+        sizes = rows.groupBy("part").count().orderBy(F.desc("count"), "part").limit(2).collect()
+        if len(sizes) < 2:
+            return functools.reduce(DataFrame.unionByName, tree)
+        chosen = _cut(_chosen(rows, listed, count, fan, sizes[0].part if sizes[0]["count"] > 1 else None))
         tree.append(chosen.select("w", "lo", "hi").distinct())
         up = _merged(chosen).select(F.col("part").alias("at"), "parent")
-        rows = _cut(rows.join(up, F.col("part") == F.col("at")).select(*columns, "core", F.col("parent").alias("part")))
-    return functools.reduce(DataFrame.unionByName, tree)
+        rows = _cut(rows.join(up, F.col("part") == F.col("at"), "left").select(*[c for c in rows.columns if c != "part"], F.coalesce("parent", "part").alias("part")))
+        side = lambda c: rows.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part"))  # noqa: E731, B023
+        listed = _cut(listed.join(side("a"), "a").join(side("b"), "b").where("a_part <> b_part").select("a", "b", "w"))
+
+
+def _chosen(rows: DataFrame, listed: DataFrame, count: int, fan: int, waits: int | None) -> DataFrame:
+    """part, w, lo, hi, to: the least edge out of every part but the one that waits, from the lists where they tell it."""
+    side = lambda c: rows.select(F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
+    edges = listed.join(side("a"), "a").join(side("b"), "b")
+    edge = F.struct("w", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.col("b_part").alias("to"))
+    least = _cut(edges.groupBy(F.col("a_part").alias("at")).agg(F.min(edge).alias("e")).select("at", "e"))
+    searched = rows.where(F.col("part") != F.lit(waits)) if waits is not None else rows
+    bounded = searched.join(least, F.col("part") == F.col("at"), "left").withColumn("bound", F.coalesce("e.w", F.lit(float("inf"))))
+    active = _cut(bounded.where("floor <= bound").select("node", "x", "times", "block", "pos", "core", "part", "bound"))
+    known = least.where(F.col("at") != F.lit(waits)) if waits is not None else least
+    known = known.select(F.col("at").alias("part"), "e")
+    left = active.count()
+    if left:
+        heads = max(1, min(count, math.ceil(left * count / rows.count())))
+        mine = _packed(active.withColumn("pos", F.col("block") * BLOCK + F.col("pos")).withColumn("block", F.floor(F.col("block") * heads / count).cast("int")))
+        others = _packed(rows.withColumn("bound", F.lit(0.0)))
+        seen = _compared(mine, heads, others, count, min(fan, heads), lambda own, rest: _outward(own, _Boxes(rest)), "part long, w double, lo long, hi long, to long")
+        known = known.union(seen.select("part", F.struct("w", "lo", "hi", "to").alias("e")))
+    return known.groupBy("part").agg(F.min("e").alias("e")).select("part", "e.w", "e.lo", "e.hi", "e.to")

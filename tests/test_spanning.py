@@ -57,6 +57,15 @@ def test_small_clusters_among_many_points(spark):
         assert name >= 0
 
 
+def test_edges_that_no_list_holds(spark, monkeypatch):
+    """Places far apart, each with more points than a list: the edges between them are searched for, and the largest part waits."""
+    monkeypatch.setattr(spanning, "NEAREST", 3)
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(c, 1, (n, 2)) for c, n in ((0, 50), (30, 20), (-90, 20), (200, 9))])
+    tree = spanning.spanning_tree(spanning.numbered(table(spark, x)), 2, 30, 2).collect()
+    assert sorted(e.w for e in tree) == pytest.approx(prim(x, 2)) and len(tree) == len(x) - 1
+
+
 def test_far_boxes_are_not_compared(monkeypatch):
     """Of points in many places only boxes near each other are compared, and the least edges out are those of all pairs."""
     r = np.random.default_rng(4)
@@ -64,11 +73,11 @@ def test_far_boxes_are_not_compared(monkeypatch):
     x, part = x[spanning._boxed(x)], r.integers(0, 40, 6000)
     d = spanning.distances(x, x)
     core = np.sort(d, axis=1)[:, 5]
-    row = {"i": 0} | {c: np.asarray(v).tobytes() for c, v in {"x": x, "node": np.arange(6000), "times": np.ones(6000, np.int64), "core": core, "part": part}.items()}
+    row = {"i": 0} | {c: np.asarray(v).tobytes() for c, v in {"x": x, "node": np.arange(6000), "times": np.ones(6000, np.int64), "core": core, "part": part, "bound": np.full(6000, np.inf)}.items()}
     compared, within = [], spanning._within
     monkeypatch.setattr(spanning, "_within", lambda a, b, *more: compared.append(len(a) * len(b)) or within(a, b, *more))
     boxes = spanning._Boxes(pd.DataFrame([row]))
-    found = spanning._outward(boxes, None, True)
+    found = spanning._outward(boxes, boxes)
     reach = np.where(part[:, None] == part, np.inf, np.maximum(d, np.maximum(core[:, None], core)))
     assert found["w"].tolist() == [reach[part == p].min() for p in range(40)]
     assert sum(compared) < 0.1 * 6000**2
